@@ -312,9 +312,8 @@ def index_frames(spark, sf):
 @query
 def scan_text_frames(spark, sf):
     frames = text.split_rejects(text.validate_frames(A.document_frames(spark, sf), "pad"))[0]
-    lines = text.shaped_lines(F.col("text"), "pad")
-    shaped = text.text_shape(frames).select("clip_id", "frame_no", "width", "height", F.posexplode(lines).alias("row", "line"))
-    return shaped
+    rows = frames.select("clip_id", "frame_no", F.posexplode(text.shaped_lines(F.col("text"), "pad")).alias("row", "line"))
+    return rows.withColumn("width", F.length("line"))
 
 
 @query
@@ -332,14 +331,14 @@ def trim_text(spark, sf):
 @query
 def dedup_frames(spark, sf):
     frames = A.document_frames(spark, sf).withColumn("clip_id", F.lit(0).cast("bigint"))
-    return dedup.dedup_frames(frames, "text").select("clip_id", "frame_no", "rep_frame_no", "is_duplicate")
+    return dedup.dedup_frames(frames, "text")
 
 
 @query
 def fanout_duplicates(spark, sf):
     frames = A.document_frames(spark, sf).withColumn("clip_id", F.lit(0).cast("bigint"))
     deduped = dedup.dedup_frames(frames, "text")
-    made = dedup.representatives(deduped).select("clip_id", "frame_no", F.size(X.text_lines(F.col("text"))).alias("lines"),
+    made = dedup.representatives(frames, deduped).select("clip_id", "frame_no", F.size(X.text_lines(F.col("text"))).alias("lines"),
                                                  F.length("text").alias("chars"))
     return dedup.fanout_duplicates(deduped, made)
 
@@ -368,7 +367,7 @@ def _event_frames(spark, sf):
 
 def _glyph_frames(spark, sf):
     cells = conversion.image_to_cells(A.embedding_pixels(spark, sf), None, 1.0, 120, TINY)
-    return text.frames_from_cells(cells).withColumn("exact", F.col("glyphs"))
+    return text.split_rejects(text.frames_from_cells(cells))[0].withColumn("exact", F.col("glyphs"))
 
 
 @query

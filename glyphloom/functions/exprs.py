@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from glyphloom.schemas import DEFAULT_RAMP
 
 __all__ = [
-    "idiv", "clamp_channel", "half_up", "grid_size", "luminance", "glyph_for_luma",
+    "idiv", "let", "clamp_channel", "half_up", "grid_size", "luminance", "glyph_for_luma",
     "ramp_luminance", "ramp_distance", "rgb_distance_l2", "rgb_distance_l1", "hue_rotate",
     "blend_channel", "parse_timestamp", "is_blank", "is_occupied", "text_lines", "is_ascii",
     "ntz_micros",
@@ -27,6 +27,12 @@ def idiv(a, b) -> Column:
     return F.call_function("div", _c(a), _c(b))
 
 
+def let(value, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row. A column expression named
+    inside a lambda is otherwise evaluated again for every array element."""
+    return F.transform(F.array(_c(value)), use)[0]
+
+
 def half_up(value: Column) -> Column:
     """Round a double to the nearest integer, halves away from zero."""
     return F.round(value)

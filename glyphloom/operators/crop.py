@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.functions.exprs import text_lines
+from glyphloom.functions.exprs import let, text_lines
 from glyphloom.operators.ordering import dense_index, frame_block
 from glyphloom.sources.text import reject_reason
 
@@ -60,11 +60,15 @@ def trim_text(frames: DataFrame, all_sides=None, top=None, bottom=None, left=Non
     """Trim each text frame by its own size; numbers are kept. Ragged, empty and
     used-up frames come back unchanged with a ``reject_reason``."""
     cut = resolve_sides(all_sides, top, bottom, left, right)
-    lines = text_lines(F.col("text"))
-    keep_rows = F.greatest(F.lit(0), F.size(lines) - cut["top"] - cut["bottom"])
-    keep_cols = F.length(F.element_at(lines, 1)) - cut["left"] - cut["right"]
-    part = F.transform(F.slice(lines, F.lit(cut["top"] + 1), keep_rows),
-                       lambda s: F.substring(s, F.lit(cut["left"] + 1), keep_cols))
+
+    def cut_lines(v):
+        keep_rows = F.greatest(F.lit(0), F.size(v["lines"]) - cut["top"] - cut["bottom"])
+        return F.transform(F.slice(v["lines"], F.lit(cut["top"] + 1), keep_rows),
+                           lambda s: F.substring(s, F.lit(cut["left"] + 1), v["cols"]))
+
+    sized = let(text_lines(F.col("text")), lambda ls: F.struct(
+        ls.alias("lines"), (F.length(F.get(ls, 0)) - cut["left"] - cut["right"]).alias("cols")))
+    part = let(sized, cut_lines)
     marked = frames.withColumn("reject_reason", reject_reason("rect", **cut))
     trimmed = F.concat(F.array_join(part, "\n"), F.lit("\n"))
     return marked.withColumn("text", F.when(F.col("reject_reason").isNull(), trimmed).otherwise(F.col("text")))

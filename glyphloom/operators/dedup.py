@@ -13,27 +13,25 @@ def content_key(content: str):
 
 
 def dedup_frames(frames: DataFrame, content: str = "raw", confirm_bytes: bool = False) -> DataFrame:
-    """Adds ``rep_frame_no``, the first frame of the clip with the same bytes, and ``is_duplicate``.
+    """The duplicate plan: clip_id, frame_no, ``rep_frame_no`` (the first frame of the
+    clip with the same bytes), ``is_duplicate``.
 
-    The representative is a map-side-combined minimum, so a group of copies of
-    any size shrinks to one row per task before the shuffle. ``confirm_bytes``
-    keeps the bytes in the key instead of trusting the digest.
+    Only digests are shuffled, never the contents. The representative is a
+    map-side-combined minimum, so a group of copies of any size shrinks to one row
+    per task before the shuffle. ``confirm_bytes`` puts the bytes themselves in
+    the key instead of trusting the digest.
     """
-    keyed = frames.withColumn("_key", content_key(content))
-    keys = ["clip_id", "_key"]
-    if confirm_bytes:
-        keyed = keyed.withColumn("_bytes", F.coalesce(F.col(content).cast("binary"), F.unhex(F.lit(""))))
-        keys.append("_bytes")
+    keyed = frames.select("clip_id", "frame_no", content_key(content).alias("_key"), *(
+        [F.coalesce(F.col(content).cast("binary"), F.unhex(F.lit(""))).alias("_bytes")] if confirm_bytes else []))
+    keys = [c for c in keyed.columns if c != "frame_no"]
     reps = keyed.groupBy(keys).agg(F.min("frame_no").alias("rep_frame_no"))
-    return (
-        keyed.join(reps, keys).drop("_key", "_bytes")
-        .withColumn("is_duplicate", F.col("rep_frame_no") != F.col("frame_no"))
-    )
+    return keyed.join(reps, keys).select(
+        "clip_id", "frame_no", "rep_frame_no", (F.col("rep_frame_no") != F.col("frame_no")).alias("is_duplicate"))
 
 
-def representatives(deduped: DataFrame) -> DataFrame:
+def representatives(frames: DataFrame, plan: DataFrame) -> DataFrame:
     """Only the frames that need work."""
-    return deduped.filter(~F.col("is_duplicate")).drop("rep_frame_no", "is_duplicate")
+    return frames.join(plan.filter(~F.col("is_duplicate")), ["clip_id", "frame_no"], "left_semi")
 
 
 def fanout_duplicates(deduped: DataFrame, results: DataFrame) -> DataFrame:

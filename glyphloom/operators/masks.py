@@ -26,21 +26,24 @@ def _codes(selection: list) -> list[int]:
     return sorted({r * SPAN + c for r, c in selection})
 
 
-def selected_cells(cells: DataFrame, selection: Selection) -> DataFrame:
-    """One row per (frame, selected position), joined to its cell where there is one
-    (``_hit`` tells). Positions outside a frame stay, with null cell columns."""
+def selected_cells(cells: DataFrame, selection: Selection, payload: list[str]) -> DataFrame:
+    """One row per (frame, selected position) with the ``payload`` columns of its cell,
+    null for positions outside the frame.
+
+    For a list the cells are read once: each frame keeps its selected cells (at most
+    the length of the list) and adds the positions it does not have.
+    """
     if isinstance(selection, DataFrame):
-        wanted, inside = selection.select(CELL_KEYS).distinct(), cells
-    else:
-        codes = _codes(selection)
-        wanted = (
-            cells.select(FRAME_KEYS).distinct()
-            .withColumn("_code", F.explode(F.lit(codes).cast("array<bigint>")))
-            .select(*FRAME_KEYS, F.call_function("div", F.col("_code"), F.lit(SPAN)).cast("int").alias("row"),
-                    (F.col("_code") % SPAN).cast("int").alias("col"))
-        )
-        inside = cells.filter(_spot().isin(codes))
-    return wanted.join(inside.withColumn("_hit", F.lit(True)), CELL_KEYS, "left")
+        return selection.select(CELL_KEYS).distinct().join(cells.select(*CELL_KEYS, *payload), CELL_KEYS, "left")
+    codes = _codes(selection)
+    chosen = F.when(_spot().isin(codes), F.struct(_spot().alias("code"), *payload))
+    frames = cells.groupBy(FRAME_KEYS).agg(F.collect_list(chosen).alias("inside"))
+    outside = F.array_except(F.lit(codes).cast("array<bigint>"), F.col("inside.code"))
+    blank = [F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in payload]
+    rows = frames.select(*FRAME_KEYS, F.explode(F.concat("inside", F.transform(
+        outside, lambda code: F.struct(code.alias("code"), *blank)))).alias("s"))
+    return rows.select(*FRAME_KEYS, F.call_function("div", F.col("s.code"), F.lit(SPAN)).cast("int").alias("row"),
+                       (F.col("s.code") % SPAN).cast("int").alias("col"), *[F.col(f"s.{c}").alias(c) for c in payload])
 
 
 def luminance_passes(luma: Column, drop_below=None, drop_above=None) -> Column:
@@ -59,52 +62,48 @@ def luminance_mask(cells: DataFrame, selection: Selection, drop_below=None, drop
     """Keep flag per selected cell by foreground luma; positions outside the grid pass."""
     luma = luminance(F.col("fr"), F.col("fg"), F.col("fb"))
     keep = F.coalesce(luminance_passes(luma, drop_below, drop_above), F.lit(True))
-    return selected_cells(cells, selection).select(*CELL_KEYS, keep.alias("keep"))
+    return selected_cells(cells, selection, ["fr", "fg", "fb"]).select(*CELL_KEYS, keep.alias("keep"))
 
 
 def ramp_mask(cells: DataFrame, selection: Selection, ramp: str = DEFAULT_RAMP, drop_below=None, drop_above=None) -> DataFrame:
     """The same for text-only frames by ramp position; unknown glyphs pass."""
     luma = ramp_luminance(F.col("glyph"), ramp)
     keep = F.coalesce(luminance_passes(luma, drop_below, drop_above), F.lit(True))
-    return selected_cells(cells, selection).select(*CELL_KEYS, keep.alias("keep"))
+    return selected_cells(cells, selection, ["glyph"]).select(*CELL_KEYS, keep.alias("keep"))
 
 
 def neighbour_sums(cells: DataFrame, radius: int) -> DataFrame:
-    """Colour sums and count of the visible cells in the square window around every
-    position with a visible cell in reach, the centre included.
+    """Per cell: colour sums and count (r, g, b, n) of the visible cells around it in a
+    square window, itself not included, next to its own fr, fg, fb and ``visible`` (1 or 0).
 
-    Two one-dimensional passes instead of a square of offsets: rows are spread
-    over 2r+1 targets and summed with map-side combining, columns are summed by a
-    range window inside one line of one frame.
+    Two one-dimensional passes instead of a square of offsets: each cell is spread
+    over the 2r+1 rows it reaches and summed with map-side combining (its own values
+    ride along on the middle copy), then columns are summed by a range window inside
+    one line of one frame. Cells are read once.
     """
-    visible = cells.filter(~is_blank(F.col("glyph"))).select(*CELL_KEYS, "fr", "fg", "fb")
-    spread = visible.withColumn("row", F.explode(F.transform(
-        F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.col("row") + d))).filter("row >= 0")
-    bands = spread.groupBy(CELL_KEYS).agg(
-        F.sum("fr").alias("r"), F.sum("fg").alias("g"), F.sum("fb").alias("b"), F.count(F.lit(1)).alias("n"))
-    return bands
+    seen = ~is_blank(F.col("glyph"))
+    reach = F.when(seen, F.sequence(F.lit(-radius), F.lit(radius))).otherwise(F.array(F.lit(0)))
+    source = {"r": "fr", "g": "fg", "b": "fb"}
+    spread = cells.select(
+        *FRAME_KEYS, "row", "col", *source.values(), F.when(seen, 1).otherwise(0).alias("n"), F.explode(reach).alias("d"))
+    middle = {c: F.when(F.col("d") == 0, F.col(c)).alias(c) for c in source.values()}
+    bands = spread.select(
+        *FRAME_KEYS, (F.col("row") + F.col("d")).alias("row"), "col", "n", *[(F.col(c) * F.col("n")).alias(k) for k, c in source.items()],
+        *middle.values(), F.when(F.col("d") == 0, F.col("n")).alias("visible"),
+    ).groupBy(CELL_KEYS).agg(*[F.max(c).alias(c) for c in (*middle, "visible")], *[F.sum(k).alias(k) for k in "rgbn"])
+    box = W.partitionBy("clip_id", "frame_no", "row").orderBy("col").rangeBetween(-radius, radius)
+    around = bands.select(*CELL_KEYS, *source.values(), "visible", *[F.sum(k).over(box).alias(k) for k in "rgbn"]).filter("visible is not null")
+    return around.withColumns({k: F.col(k) - F.col("visible") * F.col(c) for k, c in source.items()} | {"n": F.col("n") - F.col("visible")})
 
 
 def proximity_mask(cells: DataFrame, selection: Selection, tolerance: int, radius: int) -> DataFrame:
     """Keep flag per selected cell: colour within ``tolerance`` of the truncated mean
     of its visible neighbours. Blank, outside and neighbourless cells pass."""
-    radius = min(4, max(1, radius))
-    bands = neighbour_sums(cells, radius)
-    # every grid cell takes part in the line window, also those without a band row
-    lines = cells.select(*CELL_KEYS, "glyph", "fr", "fg", "fb").withColumn("_real", F.lit(True)).join(
-        bands, CELL_KEYS, "full_outer")
-    box = W.partitionBy("clip_id", "frame_no", "row").orderBy("col").rangeBetween(-radius, radius)
-    seen = (F.col("_real").isNotNull() & ~is_blank(F.col("glyph")))
-    own = {c: F.when(seen, F.col(s)).otherwise(0) for c, s in (("r", "fr"), ("g", "fg"), ("b", "fb"))}
-    summed = lines.select(
-        *CELL_KEYS, "glyph", "fr", "fg", "fb", "_real",
-        *[(F.coalesce(F.sum(c).over(box), F.lit(0)) - own[c]).alias(c) for c in "rgb"],
-        (F.coalesce(F.sum("n").over(box), F.lit(0)) - F.when(seen, 1).otherwise(0)).alias("n"),
-    ).filter("_real")
+    summed = neighbour_sums(cells, min(4, max(1, radius)))
     mean = [F.call_function("div", F.col(c), F.col("n")) for c in "rgb"]
     near = rgb_distance_l2([F.col("fr"), F.col("fg"), F.col("fb")], mean) <= tolerance
-    judged = summed.select(*CELL_KEYS, F.when(is_blank(F.col("glyph")) | (F.col("n") == 0), True).otherwise(near).alias("near"))
-    return selected_cells(judged, selection).select(*CELL_KEYS, F.coalesce("near", F.lit(True)).alias("keep"))
+    judged = summed.withColumn("near", F.when((F.col("visible") == 0) | (F.col("n") == 0), True).otherwise(near))
+    return selected_cells(judged, selection, ["near"]).select(*CELL_KEYS, F.coalesce("near", F.lit(True)).alias("keep"))
 
 
 def erase_cells(cells: DataFrame, selection: Selection, layer: str = "all") -> DataFrame:
@@ -159,10 +158,10 @@ def frames_with_background(cells: DataFrame) -> DataFrame:
 
 def strided_sample(cells: DataFrame, limit: int = 64) -> DataFrame:
     """At most ``limit`` evenly spaced cells per frame: row-major index floor(k*n/limit)."""
-    size = cells.groupBy(FRAME_KEYS).agg(
-        (F.max("col") + 1).alias("_w"), ((F.max("col") + 1).cast("bigint") * (F.max("row") + 1)).alias("_n"))
+    frame = W.partitionBy(*FRAME_KEYS)
+    sized = cells.withColumn("_w", F.max("col").over(frame) + 1).withColumn("_n", F.col("_w").cast("bigint") * (F.max("row").over(frame) + 1))
     at = F.col("row") * F.col("_w") + F.col("col")
     # the index is hit when some k has floor(k*n/limit) = index
     k = F.call_function("div", at * limit + F.col("_n") - 1, F.col("_n"))
     hit = (F.col("_n") <= limit) | ((k < limit) & (F.call_function("div", k * F.col("_n"), F.lit(limit)) == at))
-    return cells.join(size, FRAME_KEYS).filter(hit).drop("_w", "_n")
+    return sized.filter(hit).drop("_w", "_n")

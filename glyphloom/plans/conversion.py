@@ -43,8 +43,8 @@ def fit_cell_backgrounds(pixels: DataFrame, atlas: DataFrame, cell_width: int, c
 def convert_images(images: DataFrame, **options) -> DataFrame:
     """Decoded images (see ``scan_image_files``) to cells, each distinct image converted once."""
     shape = F.encode(F.concat_ws("x", "width", "height", "channels"), "UTF-8")
-    deduped = dedup_frames(images.withColumn("_bytes_seen", F.concat(shape, F.col("data"))), content="_bytes_seen").drop("_bytes_seen")
-    cells = image_to_cells(image_pixels(representatives(deduped)), **options)
+    deduped = dedup_frames(images.withColumn("_bytes_seen", F.concat(shape, F.col("data"))), content="_bytes_seen")
+    cells = image_to_cells(image_pixels(representatives(images, deduped)), **options)
     return fanout_duplicates(deduped, cells).drop("rep_frame_no")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.functions.exprs import is_ascii, text_lines
+from glyphloom.functions.exprs import is_ascii, let, text_lines
 from glyphloom.operators.ordering import with_frame_idx
 
 NUMBERED = r"(?:^|/)frame_\+?([0-9]+)\.[^./]*$"
@@ -45,10 +45,13 @@ def shaped_lines(text: Column, policy: str) -> Column:
     """
     lines = text_lines(text)
     if policy == "pad":
-        width = F.array_max(F.transform(lines, F.length))
-        return F.transform(lines, lambda s: F.rpad(s, width, F.lit(" ")))
+        def pad(v):
+            return F.transform(v["lines"], lambda s: F.rpad(s, v["width"], F.lit(" ")))
+        return let(let(lines, lambda ls: F.struct(ls.alias("lines"), F.array_max(F.transform(ls, F.length)).alias("width"))), pad)
     if policy == "first_line":
-        return F.transform(lines, lambda s: F.substring(s, F.lit(1), F.length(F.element_at(lines, 1))))
+        def clip(v):
+            return F.transform(v["lines"], lambda s: F.substring(s, F.lit(1), v["width"]))
+        return let(let(lines, lambda ls: F.struct(ls.alias("lines"), F.length(F.get(ls, 0)).alias("width"))), clip)
     if policy == "rect":
         return lines
     raise ValueError(f"unknown line policy: {policy}")
@@ -57,12 +60,9 @@ def shaped_lines(text: Column, policy: str) -> Column:
 def text_shape(frames: DataFrame, policy: str = "pad") -> DataFrame:
     """Adds width, height and the row-major ``glyphs`` string of each text frame."""
     lines = shaped_lines(F.col("text"), policy)
-    width = F.length(F.element_at(lines, 1)) if policy != "pad" else F.array_max(F.transform(lines, F.length))
-    return (
-        frames.withColumn("width", width.cast("int"))
-        .withColumn("height", F.size(lines).cast("int"))
-        .withColumn("glyphs", F.array_join(lines, ""))
-    )
+    shape = let(lines, lambda ls: F.struct(
+        F.coalesce(F.length(F.get(ls, 0)), F.lit(0)).alias("width"), F.size(ls).alias("height"), F.array_join(ls, "").alias("glyphs")))
+    return frames.withColumn("_shape", shape).withColumns({k: F.col(f"_shape.{k}") for k in ("width", "height", "glyphs")}).drop("_shape")
 
 
 def text_cells(frames: DataFrame, policy: str = "pad") -> DataFrame:
@@ -75,18 +75,18 @@ def text_cells(frames: DataFrame, policy: str = "pad") -> DataFrame:
 def reject_reason(policy: str = "pad", top: int = 0, bottom: int = 0, left: int = 0, right: int = 0) -> Column:
     """First rule a text frame breaks, or null: empty, non_ascii, zero_width, ragged, nothing_left."""
     text = F.col("text")
-    lines = text_lines(text)
-    first = F.length(F.element_at(lines, 1))
-    reason = F.when(text.isNull() | (F.size(lines) == 0), F.lit("empty"))
-    if policy == "pad":
-        widest = F.array_max(F.transform(lines, F.length))
-        reason = reason.when(~is_ascii(text), F.lit("non_ascii")).when(widest == 0, F.lit("zero_width"))
-    if policy == "rect":
-        reason = reason.when(F.exists(lines, lambda s: F.length(s) != first), F.lit("ragged"))
-        reason = reason.when(
-            (F.size(lines) <= top + bottom) | (first <= left + right), F.lit("nothing_left")
-        )
-    return reason
+
+    def judge(v):
+        lengths = v["lengths"]
+        reason = F.when(text.isNull() | (F.size(lengths) == 0), F.lit("empty"))
+        if policy == "pad":
+            reason = reason.when(~is_ascii(text), F.lit("non_ascii")).when(F.array_max(lengths) == 0, F.lit("zero_width"))
+        if policy == "rect":
+            reason = reason.when(F.array_min(lengths) != F.array_max(lengths), F.lit("ragged"))
+            reason = reason.when((F.size(lengths) <= top + bottom) | (F.get(lengths, 0) <= left + right), F.lit("nothing_left"))
+        return reason
+
+    return let(F.struct(F.transform(text_lines(text), F.length).alias("lengths")), judge)
 
 
 def validate_frames(frames: DataFrame, policy: str = "pad", strict: bool = False, **sides: int) -> DataFrame:
@@ -143,27 +143,22 @@ def loop_frames_from_text(frames: DataFrame, policy: str = "pad") -> DataFrame:
 
 def frames_from_cells(cells: DataFrame) -> DataFrame:
     """Cells gathered back to one row per frame (a frame is one bounded image):
-    width, height, glyphs, fg, bg. Missing grid positions count as black blanks."""
-    n = F.col("width") * F.col("height")
+    width, height, glyphs, fg, bg, and ``reject_reason`` when the grid has holes or doubles."""
+    spot = F.struct("row", "col", "glyph", "fr", "fg", "fb", "br", "bg", "bb")
     packed = cells.groupBy("clip_id", "frame_no").agg(
-        (F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"),
-        F.map_from_entries(F.collect_list(F.struct(
-            F.struct("row", "col").alias("k"), F.struct("glyph", "fr", "fg", "fb", "br", "bg", "bb").alias("v")))).alias("m"),
+        (F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height"), F.array_sort(F.collect_list(spot)).alias("at"),
         F.bool_or(F.col("br").isNotNull()).alias("backed"), F.bool_or(F.col("fr").isNotNull()).alias("colored"),
     )
-    spots = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("m")[F.struct(
-        F.call_function("div", i, F.col("width")).cast("int").alias("row"), (i % F.col("width")).cast("int").alias("col"))])
-    at = packed.withColumn("at", spots)
 
     def triples(a, b, c):
-        zero = F.lit(0)
-        return F.flatten(F.transform("at", lambda v: F.array(F.coalesce(v[a], zero), F.coalesce(v[b], zero), F.coalesce(v[c], zero))))
+        return F.flatten(F.transform("at", lambda v: F.array(v[a], v[b], v[c])))
 
-    return at.select(
-        "clip_id", "frame_no", "width", "height",
-        F.array_join(F.transform("at", lambda v: F.coalesce(v["glyph"], F.lit(" "))), "").alias("glyphs"),
+    want = F.col("width") * F.col("height")
+    return packed.select(
+        "clip_id", "frame_no", "width", "height", F.array_join(F.col("at.glyph"), "").alias("glyphs"),
         F.when(F.col("colored"), triples("fr", "fg", "fb")).alias("fg"),
         F.when(F.col("backed"), triples("br", "bg", "bb")).alias("bg"),
+        F.when(F.size("at") < want, "too_few_cells").when(F.size("at") > want, "too_many_cells").alias("reject_reason"),
     )
 
 

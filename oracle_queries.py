@@ -317,7 +317,7 @@ _ln = f"ln AS (SELECT clip_id, frame_no, text, {LINES} AS ls FROM d)"
 _ok = "ok AS (SELECT *, list_max(list_transform(ls, lambda s: length(s))) AS width, len(ls) AS height FROM ln WHERE strlen(text) = length(text) AND len(ls) > 0)"
 _ok2 = "o2 AS (SELECT * FROM ok WHERE width > 0)"
 add("scan_text_frames", with_(DOCS, _ln, _ok, _ok2, "u AS (SELECT clip_id, frame_no, width, height, unnest(range(height)) AS i, ls FROM o2)") +
-    "SELECT clip_id, frame_no, width, height, CAST(i AS INT) AS row, rpad(ls[i+1], CAST(width AS INT), ' ') AS line FROM u")
+    "SELECT clip_id, frame_no, width, CAST(i AS INT) AS row, rpad(ls[i+1], CAST(width AS INT), ' ') AS line FROM u")
 add("validate_frames", with_(DOCS, _ln) + """
 SELECT clip_id, frame_no, 'pad' AS policy, CASE WHEN len(ls) = 0 THEN 'empty' WHEN strlen(text) <> length(text) THEN 'non_ascii'
   WHEN list_max(list_transform(ls, lambda s: length(s))) = 0 THEN 'zero_width' END AS reject_reason FROM ln
@@ -367,6 +367,44 @@ ks AS (SELECT ru.clip_id, ru.d AS p, run_start AS s, mt.d // ru.d AS k, row_numb
 oc AS (SELECT clip_id, p, s, max(k) AS kk FROM ks WHERE k = rk GROUP BY ALL)""") + """
 SELECT clip_id, array_to_string(list_transform(range(kk + 1), lambda k: CAST(s + 1 + k*p AS VARCHAR)), ',') AS occurrences, p AS period_frames,
   1.0::DOUBLE AS confidence, 1.0::DOUBLE AS average_text_similarity, CAST(NULL AS DOUBLE) AS average_color_similarity FROM oc""")
+
+
+def pruned(candidates):
+    """Redundancy, one candidate after the other: ``candidates`` names a CTE with clip_id, s, occ (frame numbers), p,
+    conf, txt, col; ``cn`` one with clip_id, frame_no, canonical_no. The kept list travels through the recursion."""
+    return f"""
+rkd AS (SELECT c.*, x.canonical_no AS ca, y.canonical_no AS cb, row_number() OVER (PARTITION BY c.clip_id ORDER BY len(occ) DESC, conf DESC, p, occ) AS pos
+  FROM {candidates} c JOIN cn x ON x.clip_id = c.clip_id AND x.frame_no = occ[1] JOIN cn y ON y.clip_id = c.clip_id AND y.frame_no = occ[2]),
+fold AS (
+  SELECT clip_id, CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(pos BIGINT, ca BIGINT, cb BIGINT, p BIGINT, occ BIGINT[])[]) AS kept FROM (SELECT DISTINCT clip_id FROM rkd)
+  UNION ALL
+  SELECT f.clip_id, r.pos, CASE
+    WHEN len(list_filter(f.kept, lambda k: k.ca = r.ca AND k.cb = r.cb)) > 0 THEN list_transform(f.kept, lambda k:
+      CASE WHEN k.ca = r.ca AND k.cb = r.cb AND (r.occ[1] < k.occ[1] OR (r.occ[1] = k.occ[1] AND r.occ[2] < k.occ[2]))
+           THEN {{'pos': r.pos, 'ca': CAST(r.ca AS BIGINT), 'cb': CAST(r.cb AS BIGINT), 'p': CAST(r.p AS BIGINT), 'occ': r.occ}} ELSE k END)
+    WHEN len(list_filter(f.kept, lambda k: r.p % k.p = 0 AND list_has_all(k.occ, r.occ))) > 0 THEN f.kept
+    ELSE list_append(f.kept, {{'pos': r.pos, 'ca': CAST(r.ca AS BIGINT), 'cb': CAST(r.cb AS BIGINT), 'p': CAST(r.p AS BIGINT), 'occ': r.occ}}) END
+  FROM fold f JOIN rkd r ON r.clip_id = f.clip_id AND r.pos = f.pos + 1),
+fin AS (SELECT clip_id, unnest(arg_max(kept, pos)).pos AS pos FROM fold GROUP BY clip_id)
+SELECT rkd.clip_id, array_to_string(list_transform(occ, lambda o: CAST(o AS VARCHAR)), ',') AS occurrences, CAST(p AS INT) AS period_frames,
+  round(conf, 6) AS confidence, round(txt, 6) AS average_text_similarity, round(col, 6) AS average_color_similarity
+FROM rkd JOIN fin USING (clip_id, pos)"""
+
+
+def recursive(*parts):
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+_chain = """
+ks AS (SELECT ru.clip_id, ru.d AS p, run_start AS s, mt.d // ru.d AS k, row_number() OVER (PARTITION BY ru.clip_id, ru.d, run_start ORDER BY mt.d) AS rk
+       FROM ru JOIN mt ON mt.clip_id = ru.clip_id AND mt.i = run_start AND mt.d % ru.d = 0),
+oc AS (SELECT clip_id, p, s, max(k) AS kk FROM ks WHERE k = rk GROUP BY ALL),
+cd AS (SELECT clip_id, s, p, list_transform(range(kk + 1), lambda k: CAST(s + 1 + k*p AS BIGINT)) AS occ, 1.0::DOUBLE AS conf, 1.0::DOUBLE AS txt, CAST(NULL AS DOUBLE) AS col FROM oc)"""
+_canon = """
+lg AS (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY clip_id ORDER BY ix) IS DISTINCT FROM text THEN frame_no END AS opens FROM i),
+cn AS (SELECT clip_id, frame_no, last_value(opens IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS canonical_no FROM lg)"""
+add("detect_loops", recursive(EVENTS, _idx, exact_matches(3, 4), _chain, _canon, pruned("cd")))
+add("drop_redundant", recursive("ev AS (SELECT conv_id AS clip_id, turn + 1 AS frame_no, role AS text FROM conversations)", _idx, exact_matches(2, 2), _chain, _canon, pruned("cd")))
 add("canonical_frames", with_(EVENTS, _idx, "lg AS (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY clip_id ORDER BY ix) IS DISTINCT FROM text THEN frame_no END AS opens FROM i)") + """
 SELECT clip_id, frame_no, ix AS frame_idx, last_value(opens IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS canonical_no FROM lg""")
 
@@ -396,6 +434,21 @@ vr AS (SELECT clip_id, distance, min(i) AS run_start, max(i) AS run_end,
   list_reduce(list({'s': i, 'c': combined, 't': text, 'x': color} ORDER BY i), lambda acc, v: CASE WHEN v.c > acc.c + 0.002 THEN v ELSE acc END) AS b FROM vm GROUP BY clip_id, distance, isl)
 SELECT clip_id, distance, run_start, run_end, b.s AS start, round(b.c, 6) AS combined, round(b.t, 6) AS text, round(b.x, 6) AS color FROM vr""")
 
+add("detect_loops_visual", recursive(_gl[5:].rstrip(), visual_pairs("b.ix - a.ix >= 3"), """
+vw AS (SELECT clip_id, distance, i, count(*) OVER w AS n, min(combined) OVER w AS low, avg(combined) OVER w AS combined, avg(text) OVER w AS text, avg(color) OVER w AS color
+  FROM vs WINDOW w AS (PARTITION BY clip_id, distance ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+vm AS (SELECT *, i - row_number() OVER (PARTITION BY clip_id, distance ORDER BY i) AS isl FROM vw WHERE n = 2 AND low >= 0.7::DOUBLE - 0.08::DOUBLE AND combined >= 0.7::DOUBLE),
+vr AS (SELECT clip_id, distance AS p, list_reduce(list({'s': i, 'c': combined} ORDER BY i), lambda acc, v: CASE WHEN v.c > acc.c + 0.002 THEN v ELSE acc END).s AS s
+  FROM vm GROUP BY clip_id, distance, isl),
+vk AS (SELECT vr.clip_id, p, s, vm.distance // p AS k, vm.combined, vm.text, vm.color, row_number() OVER (PARTITION BY vr.clip_id, p, s ORDER BY vm.distance) AS rk
+  FROM vr JOIN vm ON vm.clip_id = vr.clip_id AND vm.i = s AND vm.distance % p = 0),
+vc AS (SELECT clip_id, s, p, max(k) AS kk, avg(combined) AS conf, avg(text) AS txt, avg(color) AS col FROM vk WHERE k = rk GROUP BY clip_id, s, p),
+vo AS (SELECT vc.clip_id, s, p, any_value(conf) AS conf, any_value(txt) AS txt, any_value(col) AS col, list(gi.frame_no ORDER BY gi.ix) AS occ
+  FROM vc JOIN gi ON gi.clip_id = vc.clip_id AND gi.ix >= s AND gi.ix <= s + kk*p AND (gi.ix - s) % p = 0 GROUP BY vc.clip_id, s, p),
+gt AS (SELECT clip_id, ix, frame_no, string_agg(glyph || r || '.' || g || '.' || b, ';' ORDER BY k) AS sig FROM gx GROUP BY ALL),
+gp AS (SELECT a.*, CASE WHEN b.sig IS DISTINCT FROM a.sig THEN a.frame_no END AS opens FROM gt a LEFT JOIN gt b ON b.clip_id = a.clip_id AND b.frame_no = a.frame_no - 1),
+cn AS (SELECT clip_id, frame_no, last_value(opens IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS canonical_no FROM gp)""", pruned("vo")))
+
 _sl = """
 fi AS (SELECT clip_id, text FROM i WHERE ix = 0),
 sn AS (SELECT i.clip_id, min(frame_no) AS second_no FROM i JOIN fi ON i.clip_id = fi.clip_id AND i.text = fi.text WHERE ix >= 4 GROUP BY ALL)"""

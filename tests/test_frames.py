@@ -49,7 +49,7 @@ def test_dedup_and_fanout(spark):
     for confirm in (False, True):
         plan = dedup.dedup_frames(df, confirm_bytes=confirm)
         assert {r.frame_no: r.rep_frame_no for r in plan.collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 5}
-    made = dedup.representatives(plan).select("clip_id", "frame_no", F.length("raw").alias("n"))
+    made = dedup.representatives(df, plan).select("clip_id", "frame_no", F.length("raw").alias("n"))
     assert made.count() == 4
     assert {r.frame_no: r.n for r in dedup.fanout_duplicates(plan, made).collect()} == {0: 3, 1: 5, 2: 3, 3: 3, 4: None, 5: None}
 

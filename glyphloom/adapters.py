@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import glyph_for_luma, idiv, luminance, ntz_micros
-from glyphloom.operators.ordering import dense_index
+from glyphloom.operators.ordering import by_frame, dense_index
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,9 +16,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coloured cells, at most 32 x 14 per frame: 64 orders make a frame, 1024 a clip.
 
-    Several lines may claim one cell; the smallest (quantity, part, supplier)
-    wins. That choice is a plain minimum, so a hot order key collapses on the
-    map side. Every fourth frame has no background.
+    Several lines may claim one cell; it takes the smallest quantity, part and
+    supplier of them. These are plain minima, so a hot order key collapses on the map
+    side and frames stay small. Every fourth frame has no background.
     """
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     lines = _read(spark, sf_dir, "lineitem").select(
@@ -26,11 +26,10 @@ def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         idiv(order, 64).alias("frame_no"),
         (order % 32).cast("int").alias("row"),
         (F.col("l_linenumber") - 1 + 7 * (idiv(order, 32) % 2)).cast("int").alias("col"),
-        F.struct(F.col("l_quantity").cast("int").alias("q"), part.alias("p"), supp.alias("s")).alias("pick"),
-        order.alias("o"),
+        F.col("l_quantity").cast("int").alias("q"), part.alias("p"), supp.alias("s"), order.alias("o"),
     )
-    won = lines.groupBy("clip_id", "frame_no", "row", "col", "o").agg(F.min("pick").alias("pick"))
-    q, p, s = F.col("pick.q"), F.col("pick.p"), F.col("pick.s")
+    won = lines.groupBy("clip_id", "frame_no", "row", "col").agg(*[F.min(c).alias(c) for c in "qpso"])
+    q, p, s = F.col("q"), F.col("p"), F.col("s")
     backed = F.col("frame_no") % 4 != 0
     coloured = won.select(
         "clip_id", "frame_no", "row", "col",
@@ -52,10 +51,10 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = F.element_at(vec, ((F.col("k") + shift) % 64 + 1).cast("int")).cast("double")
         return F.least(F.lit(255), F.greatest(F.lit(0), F.floor((at + 1.0) * 127.5))).cast("int")
 
+    vectors = _read(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("bigint").alias("clip_id"), F.col("vec_id").alias("frame_no"), "embedding")
     return (
-        _read(spark, sf_dir, "embeddings")
-        .select(F.col("label").cast("bigint").alias("clip_id"), F.col("vec_id").alias("frame_no"), "embedding",
-                F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+        by_frame(vectors).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63))))
         .select("clip_id", "frame_no", F.lit(8).alias("width"), F.lit(8).alias("height"), idiv(F.col("k"), 8).cast("int").alias("y"), (F.col("k") % 8).alias("x"),
                 level(0).alias("r"), level(21).alias("g"), level(42).alias("b"))
     )

@@ -3,7 +3,7 @@ push and code-generate them; none of them needs Python at run time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.schemas import DEFAULT_RAMP
@@ -114,39 +114,35 @@ def rgb_distance_l1(left, right) -> Column:
     return sum((F.abs(_c(a) - _c(b)) for a, b in zip(left, right)), F.lit(0)) / F.lit(765.0)
 
 
-def hue_rotate(r, g, b, degrees: float) -> Column:
-    """Rotate the hue of one colour; ``struct(r, g, b)``. Greys and whole turns stay as they are."""
+def hue_rotate(df: DataFrame, names: tuple, degrees: float) -> DataFrame:
+    """Rotate the hue of the colour in three columns. Greys, nulls and whole turns stay as
+    they are. Written in stages, so that every intermediate value is computed once and
+    the generated code stays small."""
     if degrees != degrees or degrees in (float("inf"), float("-inf")):
         raise ValueError("hue shift must be finite")
-    r, g, b = _c(r), _c(g), _c(b)
-    same = F.struct(r.alias("r"), g.alias("g"), b.alias("b"))
     if abs(degrees % 360.0) <= F32_EPSILON:
-        return same
-    rf, gf, bf = r / 255.0, g / 255.0, b / 255.0
-    high = F.greatest(rf, gf, bf)
-    delta = high - F.least(rf, gf, bf)
+        return df
+    r, g, b = (F.col(n) / 255.0 for n in names)
+    high = F.greatest(r, g, b)
+    spread = df.withColumns({"_hi": high, "_de": high - F.least(r, g, b)})
+    hi, de = F.col("_hi"), F.col("_de")
     hue = (
-        F.when(high == rf, F.pmod((gf - bf) / delta, F.lit(6.0)) * 60.0)
-        .when(high == gf, ((bf - rf) / delta + 2.0) * 60.0)
-        .otherwise(((rf - gf) / delta + 4.0) * 60.0)
+        F.when(hi == r, F.pmod((g - b) / de, F.lit(6.0)) * 60.0)
+        .when(hi == g, ((b - r) / de + 2.0) * 60.0)
+        .otherwise(((r - g) / de + 4.0) * 60.0)
     )
-    sector = F.pmod(hue + degrees, F.lit(360.0)) / 60.0
-    chroma = high * (delta / high)
-    mid = chroma * (F.lit(1.0) - F.abs(F.pmod(sector, F.lit(2.0)) - 1.0))
-    base = high - chroma
-    six = F.floor(sector)
+    turned = spread.withColumn("_se", F.when(de > F32_EPSILON, F.pmod(hue + degrees, F.lit(360.0)) / 60.0)).withColumn("_ch", hi * (de / hi))
+    sector, chroma = F.col("_se"), F.col("_ch")
+    mixed = turned.withColumns({
+        "_mi": chroma * (F.lit(1.0) - F.abs(F.pmod(sector, F.lit(2.0)) - 1.0)), "_lo": hi - chroma, "_six": F.floor(sector).cast("int")})
 
-    def channel(full, half):
-        part = F.when(six.isin(*full), chroma).when(six.isin(*half), mid).otherwise(F.lit(0.0))
-        return clamp_channel((part + base) * 255.0)
+    def channel(name, full, half):
+        part = F.when(F.col("_six").isin(*full), chroma).when(F.col("_six").isin(*half), F.col("_mi")).otherwise(F.lit(0.0))
+        return F.when(sector.isNull(), F.col(name)).otherwise(clamp_channel((part + F.col("_lo")) * 255.0))
 
     # sector 6 can only appear through rounding and behaves like sector 5
-    turned = F.struct(
-        channel((0, 5, 6), (1, 4)).alias("r"),
-        channel((1, 2), (0, 3)).alias("g"),
-        channel((3, 4), (2, 5, 6)).alias("b"),
-    )
-    return F.when(delta <= F32_EPSILON, same).otherwise(turned)
+    plans = zip(names, ((0, 5, 6), (1, 2), (3, 4)), ((1, 4), (0, 3), (2, 5, 6)))
+    return mixed.withColumns({n: channel(n, full, half) for n, full, half in plans}).drop("_hi", "_de", "_se", "_ch", "_mi", "_lo", "_six")
 
 
 def blend_channel(background, foreground, alpha) -> Column:

@@ -145,9 +145,7 @@ def hue_shift(cells: DataFrame, target: str = "both", foreground: float = 0.0, b
         (target != "foreground", ("br", "bg", "bb"), background),
     ):
         if active:
-            turned = hue_rotate(*[F.col(n) for n in names], degrees)
-            out = out.withColumn("_hue", turned).withColumns(
-                {n: F.when(F.col(n).isNotNull(), F.col("_hue")[k]) for n, k in zip(names, "rgb")}).drop("_hue")
+            out = hue_rotate(out, names, degrees)
     return out
 
 

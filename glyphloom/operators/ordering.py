@@ -79,6 +79,21 @@ def last_marked(df: DataFrame, keys: list[str], idx: str, value: Column, out: st
     )
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows that are small now but stand for much work (they are about to be exploded
+    or scored) spread by key. The partition count is explicit: sized by bytes, Spark
+    would merge such partitions into a few and serialise the work behind them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def by_frame(df: DataFrame) -> DataFrame:
+    """Frames spread by (clip, frame) while each is still one compact row. Exploding
+    afterwards keeps that partitioning, so per-pixel and per-cell grouping inside a
+    frame needs no further shuffle."""
+    return spread_out(df, "clip_id", "frame_no")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 

@@ -24,34 +24,36 @@ def with_size(pixels: DataFrame) -> DataFrame:
     return pixels.join(size, FRAME_KEYS)
 
 
-def axis_targets(at: Column, n_in: Column, n_out: Column) -> Column:
-    """Array of ``struct(o, w)``: the output positions an input position feeds, with whole-number weights."""
-    i, n_in, n_out = at.cast("bigint"), n_in.cast("bigint"), n_out.cast("bigint")
-    reach = F.greatest(n_in, n_out) * 2
-    centre = (i * 2 + 1) * n_out
-    first = F.greatest(F.lit(0), idiv(centre - reach - n_in, n_in * 2) - 1)
-    last = F.least(n_out - 1, idiv(centre + reach - n_in, n_in * 2) + 1)
-    weighted = F.transform(F.sequence(first, last), lambda o: F.struct(
-        o.cast("int").alias("o"), (reach - F.abs(centre - (o * 2 + 1) * n_in)).alias("w")))
-    return F.filter(weighted, lambda s: s["w"] > 0)
+def axis_span(at: Column, n_in: Column, n_out: Column) -> Column:
+    """The output positions an input position feeds, as an array (never empty)."""
+    wide = F.greatest(n_in, n_out) * 2
+    centre = (at * 2 + 1) * n_out
+    # first o with (2o+1)*n_in > centre - wide; ``lift`` keeps the dividend positive
+    lift = idiv(wide + n_in, n_in * 2) + 1
+    first = idiv(centre - wide - n_in + n_in * 2 * lift, n_in * 2) - lift + 1
+    last = idiv(centre + wide - n_in - 1, n_in * 2)
+    return F.sequence(F.greatest(F.lit(0).cast("bigint"), first), F.least(n_out - 1, last))
+
+
+def axis_weight(at: Column, out: Column, n_in: Column, n_out: Column) -> Column:
+    """Whole-number triangle weight, positive on the span."""
+    return F.greatest(n_in, n_out) * 2 - F.abs((at * 2 + 1) * n_out - (out * 2 + 1) * n_in)
 
 
 def resample_to(pixels: DataFrame, out_width: Column, out_height: Column) -> DataFrame:
     """Resampled rgb per output position: clip_id, frame_no, width, height, y, x, r, g, b (new size)."""
-    aimed = with_size(pixels).withColumn("_w", out_width).withColumn("_h", out_height)
-    fed = (
-        aimed.select(*FRAME_KEYS, "_w", "_h", "r", "g", "b",
-                     axis_targets(F.col("y"), F.col("height"), F.col("_h")).alias("ys"),
-                     axis_targets(F.col("x"), F.col("width"), F.col("_w")).alias("xs"))
-        .withColumn("ty", F.explode("ys"))
-        .withColumn("tx", F.explode("xs"))
-    )
-    weight = F.col("ty.w") * F.col("tx.w")
-    sums = fed.select(*FRAME_KEYS, "_w", "_h", F.col("ty.o").alias("y"), F.col("tx.o").alias("x"), "r", "g", "b", weight.alias("w"))
-    totals = sums.groupBy(*FRAME_KEYS, "_w", "_h", "y", "x").agg(
-        *[F.sum(F.col(c) * F.col("w")).alias(c) for c in "rgb"], F.sum("w").alias("w"))
+    big = {c: F.col(c).cast("bigint").alias(c) for c in ("y", "x", "width", "height")}
+    aimed = with_size(pixels).select(
+        *FRAME_KEYS, *big.values(), "r", "g", "b", out_width.cast("bigint").alias("_w"), out_height.cast("bigint").alias("_h"))
+    y, x, w, h, nw, nh = (F.col(c) for c in ("y", "x", "width", "height", "_w", "_h"))
+    # outer explode: the spans are never empty, and a plain one would test that by computing them twice
+    fed = aimed.withColumn("oy", F.explode_outer(axis_span(y, h, nh))).withColumn("ox", F.explode_outer(axis_span(x, w, nw)))
+    weight = axis_weight(y, F.col("oy"), h, nh) * axis_weight(x, F.col("ox"), w, nw)
+    totals = fed.select(*FRAME_KEYS, "_w", "_h", F.col("oy").alias("y"), F.col("ox").alias("x"), "r", "g", "b", weight.alias("w")).groupBy(
+        *FRAME_KEYS, "_w", "_h", "y", "x").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in "rgb"], F.sum("w").alias("w"))
     return totals.select(
-        *FRAME_KEYS, F.col("_w").cast("int").alias("width"), F.col("_h").cast("int").alias("height"), "y", "x",
+        *FRAME_KEYS, F.col("_w").cast("int").alias("width"), F.col("_h").cast("int").alias("height"),
+        F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"),
         *[idiv(F.col(c) * 2 + F.col("w"), F.col("w") * 2).cast("int").alias(c) for c in "rgb"])
 
 

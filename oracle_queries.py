@@ -27,16 +27,15 @@ def clamp(x):
 
 # ---------------------------------------------------------------- adapters
 CELLS = f"""
-li AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS INT) AS q,
-         CAST(l_orderkey % 32 AS INT) AS row, CAST(l_linenumber - 1 + 7*((l_orderkey // 32) % 2) AS INT) AS col,
-         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CAST(l_quantity AS INT), l_partkey, l_suppkey) AS rn
-       FROM lineitem),
+li AS (SELECT CAST(l_orderkey % 32 AS INT) AS row, CAST(l_linenumber - 1 + 7*((l_orderkey // 32) % 2) AS INT) AS col,
+         l_orderkey AS o, CAST(min(l_quantity) AS INT) AS q, min(l_partkey) AS p, min(l_suppkey) AS s
+       FROM lineitem GROUP BY l_orderkey, l_linenumber),
 c0 AS (SELECT o // 1024 AS clip_id, o // 64 AS frame_no, row, col,
          CAST((q*5) % 256 AS INT) AS fr, CAST(p % 256 AS INT) AS fg, CAST((s*7) % 256 AS INT) AS fb,
          CASE WHEN (o // 64) % 4 <> 0 THEN CAST(o % 256 AS INT) END AS br,
          CASE WHEN (o // 64) % 4 <> 0 THEN CAST(p % 251 AS INT) END AS bg,
          CASE WHEN (o // 64) % 4 <> 0 THEN CAST(s % 241 AS INT) END AS bb
-       FROM li WHERE rn = 1),
+       FROM li),
 c AS (SELECT *, {glyph(luma(), 20, RAMP)} AS glyph FROM c0)"""
 
 PIXELS = """

@@ -53,7 +53,8 @@ def test_first_and_last_ramp_position(spark):
     ((80, 80, 80), 137, (80, 80, 80)), ((10, 200, 30), 360, (10, 200, 30)), ((10, 200, 30), -360, (10, 200, 30)),
     ((0, 0, 255), -120, (0, 255, 0))])
 def test_hue(spark, rgb, deg, want):
-    assert tuple(value(spark, X.hue_rotate(*rgb, float(deg)))) == want
+    df = spark.createDataFrame([rgb, (None, None, None)], "r int, g int, b int")
+    assert set(map(tuple, X.hue_rotate(df, ("r", "g", "b"), float(deg)).collect())) == {want, (None, None, None)}
 
 
 @pytest.mark.parametrize("text,want", [("00:01:23.456", 83.456), ("83.456", 83.456), ("1:02:03", 3723.0), ("x", 0.0), ("", 0.0)])

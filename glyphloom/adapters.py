@@ -61,12 +61,14 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clip per user; the events in time order are its frames, numbered from 1."""
+    """One clip per user; the events in time order are its frames, numbered from 1 without
+    gaps, so the index of a frame is its number less one."""
     events = _read(spark, sf_dir, "events").select(
         F.col("user_id").alias("clip_id"), "event_id", F.col("event_type").alias("text"), ntz_micros(F.col("ts")).alias("t_us")
     )
     minute = idiv(F.col("t_us"), 60_000_000)
-    return dense_index(events, ["clip_id"], ["t_us", "event_id"], minute, out="frame_no", start=1)
+    frames = dense_index(events, ["clip_id"], ["t_us", "event_id"], minute, out="frame_no", start=1)
+    return frames.withColumn("frame_idx", (F.col("frame_no") - 1).cast("int"))
 
 
 def document_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,7 +405,8 @@ def best_start(spark, sf):
 
 def _found(spark, sf, frames, options):
     base = cut_lineage(loops.indexed_frames(frames))
-    return base, loops.extend_occurrences(base, loops.run_candidates(base, options), options)
+    windows = loops.stored_windows(base, options)
+    return base, loops.extend_occurrences(base, loops.run_candidates(base, options, windows=windows), options, windows)
 
 
 def _listing(df):
@@ -442,7 +443,7 @@ def canonical_frames(spark, sf):
 
 def _slices(spark, sf):
     """First frame of each clip with its nearest identical later frame, as (start, end)."""
-    frames = loops.indexed_frames(A.event_frames(spark, sf).select("clip_id", "frame_no", "text"))
+    frames = A.event_frames(spark, sf).select("clip_id", "frame_no", "frame_idx", "text")
     first = frames.filter("frame_idx = 0").select("clip_id", "text")
     again = frames.filter("frame_idx >= 4").join(first, ["clip_id", "text"]).groupBy("clip_id").agg(F.min("frame_no").alias("second_no"))
     return frames, again.select("clip_id", F.array(F.lit(1).cast("bigint"), "second_no").alias("occurrences"))

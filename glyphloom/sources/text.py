@@ -136,7 +136,7 @@ def loop_frames_from_text(frames: DataFrame, policy: str = "pad") -> DataFrame:
     """Text frames in the column layout the loop operators read."""
     shaped = text_shape(frames, policy)
     return shaped.select(
-        "clip_id", "frame_no", "width", "height", "glyphs", F.col("text").alias("exact"),
+        *[c for c in ("clip_id", "frame_no", "frame_idx") if c in frames.columns], "width", "height", "glyphs", F.col("text").alias("exact"),
         F.lit(None).cast("array<int>").alias("fg"), F.lit(None).cast("array<int>").alias("bg"),
     )
 

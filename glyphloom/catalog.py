@@ -399,7 +399,7 @@ def match_runs(spark, sf):
 
 @query
 def best_start(spark, sf):
-    runs = loops.best_start(loops.scored_runs(_glyph_frames(spark, sf), VISUAL))
+    runs = loops.best_start(loops.scored_runs(cut_lineage(loops.indexed_frames(_glyph_frames(spark, sf))), VISUAL))
     return runs.select("clip_id", "distance", "run_start", "run_end", "start", _digits("combined"), _digits("text"), _digits("color"))
 
 

@@ -8,7 +8,6 @@ with the coverage matrix, one Arrow batch of cells at a time.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +110,7 @@ FITTED_DDL = "clip_id bigint, frame_no bigint, row int, col int, glyph string, f
 
 def _fit_batches(alpha, glyphs, sums):
     """Task-side helper: batches of patches -> fitted cells. ``alpha`` is glyphs x pixels."""
-    s_aa, s_ab, s_bb, det, flat = (sums[k].to_numpy()[None, :, None] for k in ("s_aa", "s_ab", "s_bb", "det", "degenerate"))
+    s_aa, s_ab, s_bb, det, flat = (sums[k][None, :, None] for k in ("s_aa", "s_ab", "s_bb", "det", "degenerate"))
     safe = np.where(flat, 1.0, det)
     names = np.array(glyphs, dtype=object)
 
@@ -168,12 +167,16 @@ def fit_cells(pixels: DataFrame, atlas: DataFrame, ramp: str, cell_width: int, c
     glyph never reach the solver. One shuffle (pixels to cells)."""
     bg_threshold = threshold if bg_threshold is None else bg_threshold
     table = candidates(atlas, ramp)
-    if not small_enough(table):
+    cover = table.limit(MAX_ATLAS_ROWS + 1).toPandas()  # the size check: never more than the bound reaches the driver
+    if len(cover) > MAX_ATLAS_ROWS:
         return _fit_cells_relational(pixels, atlas, ramp, cell_width, cell_height, threshold, bg_threshold)
-    cover: pd.DataFrame = table.orderBy("ramp_pos", "py", "px").toPandas()
-    sums = atlas_sums(table).join(table.select("glyph", "ramp_pos").distinct(), "glyph").orderBy("ramp_pos").toPandas()
-    glyphs = list(sums["glyph"])
+    cover = cover.sort_values(["ramp_pos", "py", "px"])
+    glyphs = list(cover["glyph"].drop_duplicates())
     alpha = cover["alpha"].to_numpy(np.float64).reshape(len(glyphs), -1 if glyphs else 0)
+    s_aa, s_ab, s_bb = (alpha * alpha).sum(1), (alpha * (1 - alpha)).sum(1), ((1 - alpha) * (1 - alpha)).sum(1)
+    det, mean = s_aa * s_bb - s_ab * s_ab, alpha.mean(1) if glyphs else np.zeros(0)
+    flat = (mean <= 1e-6) | (mean >= 1.0 - 1e-6) | (np.abs(det) <= 1e-9)
+    sums = {"s_aa": s_aa, "s_ab": s_ab, "s_bb": s_bb, "det": det, "degenerate": flat}
     gated = _gated_patches(pixels, cell_width, cell_height, threshold, bg_threshold)
     return gated.mapInPandas(_fit_batches(alpha, glyphs, sums), FITTED_DDL)
 

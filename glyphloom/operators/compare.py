@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.functions.exprs import text_lines
+from glyphloom.functions.exprs import let, text_lines
 from glyphloom.schemas import CELL_KEYS, FRAME_KEYS
 
 
 def compare_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Four checks per clip over text frames: total size, frame count, height and width of the first frame."""
     def facts(frames, tag):
-        lines = text_lines(F.col("text"))
-        return frames.groupBy("clip_id").agg(
-            F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("count"),
-            F.min_by(F.struct(F.size(lines).alias("h"), F.length(F.element_at(lines, 1)).alias("w")), "frame_no").alias("first"),
-        ).select("clip_id", F.array(
-            F.col("size"), F.col("count"), F.col("first.h").cast("bigint"), F.col("first.w").cast("bigint")).alias(tag))
+        sized = frames.select("clip_id", "frame_no", F.octet_length("text").alias("bytes"), let(text_lines(F.col("text")), lambda ls: F.struct(
+            F.size(ls).alias("h"), F.length(F.get(ls, 0)).alias("w"))).alias("s"))
+        return sized.groupBy("clip_id").agg(
+            F.sum("bytes").alias("size"), F.count(F.lit(1)).alias("count"), F.min_by(F.col("s.h"), "frame_no").alias("h"), F.min_by(F.col("s.w"), "frame_no").alias("w"),
+        ).select("clip_id", F.array(F.col("size"), F.col("count"), F.col("h").cast("bigint"), F.col("w").cast("bigint")).alias(tag))
 
     both = facts(expected, "e").join(facts(actual, "a"), "clip_id", "full_outer")
     names = F.lit(["total_size", "frame_count", "frame_height", "frame_width"])

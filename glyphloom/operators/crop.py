@@ -25,13 +25,13 @@ def crop_frames(cells: DataFrame, all_sides=None, top=None, bottom=None, left=No
     cut = resolve_sides(all_sides, top, bottom, left, right)
     sizes = cells.groupBy("clip_id", "frame_no").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
     numbered = dense_index(sizes, ["clip_id"], ["frame_no"], frame_block(), out="new_no", start=1)
-    first = numbered.groupBy("clip_id").agg(F.min_by(F.struct("w", "h"), "frame_no").alias("first"))
-    nothing = (F.col("first.h") <= cut["top"] + cut["bottom"]) | (F.col("first.w") <= cut["left"] + cut["right"])
+    first = sizes.groupBy("clip_id").agg(F.min_by("w", "frame_no").alias("w"), F.min_by("h", "frame_no").alias("h"))
+    nothing = (F.col("h") <= cut["top"] + cut["bottom"]) | (F.col("w") <= cut["left"] + cut["right"])
     stop = F.raise_error(F.concat(F.lit("crop leaves nothing of clip "), F.col("clip_id").cast("string"))).cast("int")
     bounds = first.select(
         "clip_id",
-        F.when(nothing, stop).otherwise(F.col("first.h") - cut["bottom"]).alias("row_end"),
-        (F.col("first.w") - cut["right"]).alias("col_end"),
+        F.when(nothing, stop).otherwise(F.col("h") - cut["bottom"]).alias("row_end"),
+        (F.col("w") - cut["right"]).alias("col_end"),
     )
     plan = numbered.select("clip_id", "frame_no", "new_no").join(bounds, "clip_id")
     rest = [c for c in cells.columns if c not in ("clip_id", "frame_no", "row", "col")]

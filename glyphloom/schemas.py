@@ -31,7 +31,9 @@ QUICK_SAMPLE_CELLS = 64
 QUICK_THRESHOLD_MARGIN = 0.03
 FRAME_THRESHOLD_MARGIN = 0.08
 BEST_START_MARGIN = 0.002
-# Binary layouts.
+# Files and binary layouts.
+TEXT_FRAME_GLOB = "frame_*.txt"
+COLOR_FRAME_GLOB = "frame_*.cframe"
 FLAG_HAS_BACKGROUND = 1
 PACK_MAGIC = b"CFPK"
 PACK_VERSION = 1

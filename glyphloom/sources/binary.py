@@ -9,10 +9,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import idiv
-from glyphloom.schemas import CELLS_DDL, FLAG_HAS_BACKGROUND, PACK_MAGIC, PACK_VERSION, PIXELS_DDL
+from glyphloom.schemas import CELLS_DDL, COLOR_FRAME_GLOB, FLAG_HAS_BACKGROUND, PACK_MAGIC, PACK_VERSION, PIXELS_DDL
 from glyphloom.sources.text import folder_clip, with_frame_no
 
 
@@ -58,7 +59,7 @@ def scan_images(spark: SparkSession, path: str, glob: str = "*.{png,jpg,jpeg}")
 
 
 # ---------------------------------------------------------------- colour frames
-def scan_binary_frames(spark: SparkSession, path: str, glob: str = "frame_*.cframe") -> DataFrame:
+def scan_binary_frames(spark: SparkSession, path: str, glob: str = COLOR_FRAME_GLOB) -> DataFrame:
     """Binary colour frames of a folder: clip_id, frame_no, raw, path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return with_frame_no(files).select(folder_clip(F.col("path")).alias("clip_id"), "frame_no", F.col("content").alias("raw"), "path")
@@ -187,8 +188,6 @@ def pack_frames(frames: DataFrame, part_bytes: int = PACK_PART_BYTES, block: int
     or one task. Where a part ends follows from running byte totals, taken per
     block of frames and then across blocks.
     """
-    from pyspark.sql import Window as W
-
     sized = frames.select(
         "clip_id", "frame_no", "raw", (F.octet_length("raw") + 4).cast("bigint").alias("size"), idiv(F.col("frame_no"), block).alias("_block"))
     totals = sized.groupBy("clip_id", "_block").agg(F.sum("size").alias("s"))

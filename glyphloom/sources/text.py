@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import is_ascii, let, text_lines
 from glyphloom.operators.ordering import with_frame_idx
+from glyphloom.schemas import TEXT_FRAME_GLOB
 
 NUMBERED = r"(?:^|/)frame_\+?([0-9]+)\.[^./]*$"
 
@@ -30,7 +31,7 @@ def folder_clip(path: Column) -> Column:
 def scan_text_frames(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """``frame_*.txt`` files as frames: clip_id, frame_no, text, path."""
     files = (
-        spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "frame_*.txt").text(path, wholetext=True)
+        spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", TEXT_FRAME_GLOB).text(path, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
     return with_frame_no(files).select(folder_clip(F.col("path")).alias("clip_id"), "frame_no", "text", "path")

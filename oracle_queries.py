@@ -87,8 +87,6 @@ def resample(src: str, n_in_w, n_in_h, w, h, out="rs"):
 
 def fit(src: str):
     """Least-squares fit of 4 x 4 patches of ``src`` against every glyph of the small atlas but the space."""
-    colors = ""
-    error = "CAST(any_value(sum_sq) AS DOUBLE)"
     return f"""
 pt AS (SELECT clip_id, frame_no, y // 4 AS row, x // 4 AS col, y % 4 AS py, x % 4 AS px, r, g, b FROM {src}),
 st AS (SELECT {KEYS}, count(*) AS n, sum({luma('r', 'g', 'b')}) AS sum_luma, sum(r) AS sum_r, sum(g) AS sum_g, sum(b) AS sum_b,
@@ -106,11 +104,6 @@ ff AS (SELECT {KEYS}, glyph, p - 1 AS ramp_pos, fr, fg, fb, br, bg, bb, mean_lum
         f"(f{c}*f{c}*s_aa + 2.0*f{c}*b{c}*s_ab + b{c}*b{c}*s_bb - 2.0*(f{c}*a{c} + b{c}*x{c}))" for c in "rgb") + """ AS error FROM fc)"""
 
 
-def gather(name, src, expr, alias):
-    """Self-join of a dense image with clamped neighbour places; ``expr`` aggregates n.* under offsets dy, dx."""
-    return f"{name} AS ({expr})"
-
-
 ORACLES: dict[str, str] = {}
 
 

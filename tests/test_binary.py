@@ -31,6 +31,19 @@ def test_scan_images(spark, tmp_path):
     assert [r.frame_no for r in binary.image_rejects(images).collect()] == [4]
 
 
+def test_scan_jpeg(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    canvas = jvm.java.awt.image.BufferedImage(8, 8, 1)
+    for y in range(8):
+        for x in range(8):
+            canvas.setRGB(x, y, (200 << 16) + (100 << 8) + 50)
+    for name in ("frame_0001.jpg", "frame_0002.jpeg"):
+        jvm.javax.imageio.ImageIO.write(canvas, "jpg", jvm.java.io.File(str(tmp_path / name)))
+    got = binary.scan_images(spark, str(tmp_path)).collect()
+    assert {r.frame_no for r in got} == {1, 2} and len(got) == 128
+    assert all(abs(r.r - 200) < 6 and abs(r.g - 100) < 6 and abs(r.b - 50) < 6 for r in got)
+
+
 def test_convert_images_dedups(spark, tmp_path):
     red, green = png(8, 8, lambda x, y: (255, 0, 0)), png(8, 8, lambda x, y: (0, 255, 0))
     for i, data in enumerate([red, green, red, red], 1):

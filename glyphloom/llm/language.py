@@ -173,7 +173,7 @@ def _cached(texts: list[list[str]], names: tuple, p: np.ndarray, path: str) -> t
     token = (names, path, p.shape, float(p[:, :97].sum()))
     if c.model != token or len(c.known) > CACHE_WORDS:
         c.known, c.scores, c.model = {}, np.zeros((0, len(names))), token
-    fresh = list({w for words in texts for w in words} - c.known.keys())
+    fresh = list({w for words in texts for w in words if w not in c.known})
     if fresh:
         for w in fresh:
             c.known[w] = len(c.known)

@@ -8,7 +8,9 @@ member lists only; tokens are not moved.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,36 +32,67 @@ TASK_BINS = 100_000
 CACHE_WORDS = 300_000
 
 # White space as the vocabulary's splitting pattern has it.
-_STRETCH = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_STRETCH = re.compile(f"[^{_SPACE}]+")
+# Latin text up to U+017F is composed already and stays there in lower case (but for a mark, U+0307); its words can be split here, as the vocabulary splits them after lower-casing.
+_OTHER = re.compile("[^\x00-\u017f]")
+_LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k) for k in "LN")
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 _WORKER: dict = {}
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _words(vocabulary: str):
-    """The worker's tokenizer and its cache: stretch -> little-endian 32-bit ids."""
-    if vocabulary not in _WORKER:
+class _Encoder:
+    """A worker's tokenizer and its caches of packed ids: by word of a Latin text, by stretch of any other."""
+
+    def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        # The model's letters for bytes: those of the byte alphabet as they are, the others counted up from U+0100.
+        alphabet, spare = set(ByteLevel.alphabet()), 0x100
+        self.letter = []
+        for i in range(256):
+            own = chr(i) in alphabet
+            self.letter.append(chr(i) if own else chr(spare))
+            spare += not own
+        self.words: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+
+    def _word(self, w: str) -> bytes:
+        return array("I", [t.id for t in self.merge(w.encode().decode("latin-1").translate(self.letter))]).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        if _OTHER.search(text):
+            parts, known, fresh = _STRETCH.findall(text), self.stretches, self._stretches
+        else:
+            parts, known, fresh = _WORD.findall(text.lower()), self.words, self._words
+        try:
+            return b"".join(map(known.__getitem__, parts))
+        except KeyError:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            fresh({w for w in parts if w not in known})
+            return b"".join(map(known.__getitem__, parts))
 
-        t = Tokenizer.from_file(vocabulary)
-        t.encode_special_tokens = True
-        _WORKER[vocabulary] = t, {}
-    return _WORKER[vocabulary]
+    def _words(self, words: set[str]) -> None:
+        self.words.update((w, self._word(w)) for w in words)
+
+    def _stretches(self, words: set[str]) -> None:
+        words = list(words)
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.stretches[w] = array("I", e.ids).tobytes()
 
 
 def encode_texts(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     """Ids of each text as packed little-endian unsigned 32-bit numbers."""
-    tokenizer, cache = _words(vocabulary)
-    out = []
-    for i in range(0, len(texts), 64):
-        split = [_STRETCH.findall(t) for t in texts[i : i + 64]]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        fresh = list({w for words in split for w in words} - cache.keys())
-        for w, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        out += [b"".join(map(cache.__getitem__, words)) for words in split]
-    return out
+    if vocabulary not in _WORKER:
+        _WORKER[vocabulary] = _Encoder(vocabulary)
+    return list(map(_WORKER[vocabulary], texts))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -145,9 +178,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     columns = pieces.columns
     single = pieces.select(F.col("length").cast("int").alias("used"), F.array(F.struct(*columns)).alias("members"))
-    full = single.where(F.col("used") >= capacity)
-    bins = checkpointed(_merge(single.where(F.col("used") < capacity), capacity).union(full))
-    done, rest, tasks = [], bins, partitions(pieces.sparkSession)
+    done, rest, tasks = [], checkpointed(_merge(single, capacity)), partitions(pieces.sparkSession)
     limit = int(capacity * NEARLY_FULL)
     while True:
         done.append(rest.where(F.col("used") >= limit))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -25,11 +25,11 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 
-def _class(escape: str) -> str:
-    """The characters of a class as ranges, asked of the library whose splitting is wanted."""
+def _class(escape: str, last: int) -> str:
+    """The characters of a class up to `last` as ranges, asked of the library whose splitting is wanted."""
     import tiktoken
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = "".join(chr(c) for c in range(last + 1) if not 0xD800 <= c < 0xE000)
     matches = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}).encode_ordinary(every)
     code = np.frombuffer(bytes(matches).decode().encode("utf-32-le"), "<u4").astype(np.int64)
     cut = np.flatnonzero(np.diff(code) != 1)
@@ -37,11 +37,18 @@ def _class(escape: str) -> str:
 
 
 @lru_cache(4)
-def splitter(pattern: str) -> re.Pattern:
-    """The pre-token pattern for Python's own matcher: Unicode classes written out as ranges."""
-    letters, numbers, space = _class(r"\p{L}"), _class(r"\p{N}"), _class(r"\s")
-    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]")
-    return re.compile(pattern.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Split a text into pre-tokens with Python's own matcher: Unicode classes written out as ranges.
+
+    Texts within the first plane are split by ranges of that plane, which the matcher looks up in a bit map.
+    """
+    def compiled(last):
+        letters, numbers, space = (_class(e, last) for e in (r"\p{L}", r"\p{N}", r"\s"))
+        p = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]")
+        return re.compile(p.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")).findall
+
+    near, far, beyond = compiled(0xFFFF), compiled(0x10FFFF), re.compile("[^\x00-\uffff]").search
+    return lambda text: (far if beyond(text) else near)(text)
 
 
 @lru_cache(4)
@@ -84,7 +91,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     blocks = packed_blocks(docs, "doc_id", ["doc_id", "text"], n)
 
     def words_of(t: pa.Table):
-        find = splitter(pattern).findall
+        find = splitter(pattern)
         return [find(x or "") for x in t["text"].to_pylist()]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

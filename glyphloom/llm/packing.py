@@ -29,7 +29,7 @@ NEARLY_FULL = 0.995
 #: Bins that one merging task takes at most.
 TASK_BINS = 100_000
 #: Stretches that a worker keeps; at this many the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 # White space as the vocabulary's splitting pattern has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,6 +43,22 @@ _WORKER: dict = {}
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Known(dict):
+    """What a function has given, up to CACHE_WORDS entries or one text's."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, w: str) -> bytes:
+        v = self[w] = self.make(w)
+        return v
+
+    def all(self, parts: list[str]) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, parts))
+
+
 class _Encoder:
     """A worker's tokenizer and its caches of packed ids: by word of a Latin text, by stretch of any other."""
 
@@ -60,32 +76,16 @@ class _Encoder:
             own = chr(i) in alphabet
             self.letter.append(chr(i) if own else chr(spare))
             spare += not own
-        self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.words = _Known(self._word)
+        self.stretches = _Known(lambda w: array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes())
 
     def _word(self, w: str) -> bytes:
         return array("I", [t.id for t in self.merge(w.encode().decode("latin-1").translate(self.letter))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         if _OTHER.search(text):
-            parts, known, fresh = _STRETCH.findall(text), self.stretches, self._stretches
-        else:
-            parts, known, fresh = _WORD.findall(text.lower()), self.words, self._words
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            fresh({w for w in parts if w not in known})
-            return b"".join(map(known.__getitem__, parts))
-
-    def _words(self, words: set[str]) -> None:
-        self.words.update((w, self._word(w)) for w in words)
-
-    def _stretches(self, words: set[str]) -> None:
-        words = list(words)
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.stretches[w] = array("I", e.ids).tobytes()
+            return self.stretches.all(_STRETCH.findall(text))
+        return self.words.all(_WORD.findall(text.lower()))
 
 
 def encode_texts(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:

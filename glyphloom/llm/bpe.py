@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -74,7 +74,15 @@ def word_encoder(path: str):
     return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
 
 
-def _dealt(words: set[str], buckets: int) -> dict[int, list[bytes]]:
+class _Numbered(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+def _dealt(words: Iterable[str], buckets: int) -> dict[int, list[bytes]]:
     out: dict[int, list[bytes]] = {}
     for w in sorted(x.encode() for x in words):
         out.setdefault(zlib.crc32(w) % buckets, []).append(w)
@@ -90,9 +98,10 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     n = partitions(docs.sparkSession)
     blocks = packed_blocks(docs, "doc_id", ["doc_id", "text"], n)
 
-    def words_of(t: pa.Table):
+    def words_of(t: pa.Table) -> Iterator[list[str]]:
         find = splitter(pattern)
-        return [find(x or "") for x in t["text"].to_pylist()]
+        for x in t["text"]:
+            yield find(x.as_py() or "")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in whole_blocks(batches):
@@ -127,16 +136,17 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
         docs_of = unpack(left["payload"].combine_chunks()) if left.num_rows else None
         if docs_of is None:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
-        texts = words_of(docs_of)
-        dealt = _dealt({w for words in texts for w in words}, n)
-        ids: dict[str, bytes] = {}
+        place = _Numbered()
+        texts = [np.fromiter(map(place.__getitem__, words), np.int32, len(words)) for words in words_of(docs_of)]
+        dealt = _dealt(place.keys(), n)
+        ids: list[bytes] = [b""] * len(place)
         for bucket, counts, packed in zip(right["bucket"].to_pylist(), right["counts"].to_pylist(), right["ids"].to_pylist()):
             wide = np.frombuffer(packed, "<u2" if width == 2 else "<u4").astype("<u4").tobytes()
             at = 0
             for w, k in zip(dealt[bucket], np.frombuffer(counts, "<u4").tolist()):
-                ids[w.decode()] = wide[at : at + 4 * k]
+                ids[place[w.decode()]] = wide[at : at + 4 * k]
                 at += 4 * k
-        out = [b"".join(map(ids.__getitem__, words)) for words in texts]
+        out = [b"".join(map(ids.__getitem__, words.tolist())) for words in texts]
         return pa.table({"doc_id": docs_of["doc_id"].cast(pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
 
     dealt = blocks.mapInArrow(distinct, "bucket int, block int, lengths binary, words binary")

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: A scan task hands over the texts gathered for its blocks when they reach this many bytes.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 #: Texts are hashed in chunks of about this many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -59,7 +59,7 @@ def packed_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
 
         def flush():
             t = pa.Table.from_batches(held)
@@ -224,6 +224,28 @@ def bucket_schema(columns: int) -> str:
     return "bucket int, block int, key binary" + "".join(f", c{i} binary" for i in range(columns))
 
 
+KEY_BITS = 48
+
+
+def packed_keys(key: np.ndarray) -> bytes:
+    """Ascending KEY_BITS keys as a first one and 32-bit steps (64-bit where a step is too large)."""
+    step = np.diff(key)
+    return key[:1].tobytes() + step.astype("<u4" if not len(step) or int(step.max()) < 1 << 32 else "<u8").tobytes()
+
+
+def unpacked_keys(packed: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(packed, "<u4" if len(packed) == 8 + 4 * (n - 1) else "<u8", offset=8).astype(np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(packed, np.uint64, count=1), steps]), dtype=np.uint64)
+
+
+def range_rows(block: int, buckets: int, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, block, key, c0) of ascending KEY_BITS keys and their counts, dealt to buckets by equal ranges of the hashed keys."""
+    cuts = [0, *np.searchsorted(key, np.array([(i << KEY_BITS) // buckets for i in range(1, buckets)], np.uint64)), len(key)]
+    used = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+    parts = [(key[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]].astype("<u4")) for i in used]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int32()), pa.array([packed_keys(k) for k, _ in parts], pa.binary()), pa.array([c.tobytes() for _, c in parts], pa.binary())], ["bucket", "block", "key", "c0"])
+
+
 def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     """Packed arrays of all rows, one after the other."""
     return np.frombuffer(b"".join(x for x in column.to_pylist()), dtype)

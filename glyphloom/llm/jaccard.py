@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import (Substrings, back_rows, back_schema, bucket_rows, bucket_schema, checkpointed, chunks, cogrouped, components,
-                                  counted, found, grouped, joined, owners, packed_blocks, partitions, texts_of, unpack, whole_blocks, words)
+from glyphloom.llm.common import (KEY_BITS, Substrings, back_schema, bucket_schema, checkpointed, chunks, cogrouped, components, counted, found,
+                                  grouped, packed_blocks, packed_keys, partitions, range_rows, texts_of, unpack, unpacked_keys, whole_blocks, words)
 
 #: Sets that one trie holds.
 CELL = 1000
@@ -39,7 +39,7 @@ def _shingles(t: pa.Table, size: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
         text = np.repeat(np.arange(len(n)), count)
         begin = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        key = hashed(begin, np.minimum(begin + size, at[1:][text])) if len(begin) else np.zeros(0, np.uint64)
+        key = hashed(begin, np.minimum(begin + size, at[1:][text])) >> np.uint64(64 - KEY_BITS) if len(begin) else np.zeros(0, np.uint64)
         order = np.lexsort((key, text))
         key, text = key[order], text[order]
         new = np.ones(len(key), bool)
@@ -47,6 +47,22 @@ def _shingles(t: pa.Table, size: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield first, key[new], np.searchsorted(text[new], np.arange(len(n) + 1))
 
 
+def _class(frequency: np.ndarray) -> np.ndarray:
+    """Document frequency as a byte that never falls as it grows: the shingles' global order is by it, then by hash."""
+    return np.minimum(8 * np.log2(frequency), 255).astype(np.uint8)
+
+
+def _narrow(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    part = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BITS // 8)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = part
+    return out.view(np.uint64).ravel()
+
+
 class Trie:
     """Sets as sorted tuples of ranks; equal beginnings are shared. Subtrees are ranges of the sorted sets."""
 
@@ -132,7 +148,7 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     whole sequence. Texts without words have an empty set and no links. Returns (doc_id, n_shingles,
     component_id), a row per input row; component_id is the smallest doc_id reachable. Rows of one
     doc_id are one node; rows without doc_id get a null component_id and link nothing.
-    Shingles are compared by 64-bit hashes.
+    Shingles are compared by 48-bit hashes.
     """
     n = partitions(docs.sparkSession)
     blocks = packed_blocks(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ["doc_id", "text"], n)
@@ -142,16 +158,22 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
             parts = [key for _, key, _ in _shingles(t, size)]
             key, count = counted(np.concatenate(parts)) if parts else (np.zeros(0, np.uint64), None)
             if len(key):
-                yield bucket_rows(block, n, key, count)
+                yield range_rows(block, n, key, count)
 
     def repeated(_, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        block, key, count = owners(t), joined(t["key"], np.uint64), joined(t["c0"], np.uint32).astype(np.int64)
+        """Shingles of two documents or more, and their order class, to every block that has them."""
+        counts = [np.frombuffer(c, "<u4") for c in t["c0"].to_pylist()]
+        keys = [unpacked_keys(k, len(c)) for k, c in zip(t["key"].to_pylist(), counts)]
+        key, count = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(key, kind="stable")
-        block, key, count = block[order], key[order], count[order]
-        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        total = np.bincount(group, weights=count).astype(np.uint32)[group]
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        group = np.empty(len(key), np.int64)
+        group[order] = np.cumsum(new) - 1
+        total = np.bincount(group, weights=count)[group]
         keep = total >= 2
-        return back_rows(block[keep], key[keep], total[keep])
+        ends = np.cumsum([0, *map(len, keys)])
+        rows = [(b, key[i:j][keep[i:j]], _class(total[i:j][keep[i:j]])) for b, i, j in zip(t["block"].to_pylist(), ends, ends[1:]) if keep[i:j].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([packed_keys(r[1]) for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], ["block", "key", "c0"])
 
     set_schema = "doc_id long, n_shingles long, block int, sig binary, keys binary, dfs binary, prefix int"
 
@@ -159,15 +181,16 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
         """Each text's size; for one that may have a partner also its shared shingles in order and how many are in its prefix."""
         if not left.num_rows:
             return
-        known, df = (joined(right["key"], np.uint64), joined(right["c0"], np.uint32)) if right.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        classes = [np.frombuffer(c, np.uint8) for c in right["c0"].to_pylist()]
+        known = np.concatenate([np.zeros(0, np.uint64), *(unpacked_keys(k, len(c)) for k, c in zip(right["key"].to_pylist(), classes))])
         order = np.argsort(known)
-        known, df = known[order], df[order]
+        known, df = known[order], np.concatenate([np.zeros(0, np.uint8), *classes])[order]
         t = unpack(left["payload"].combine_chunks())
         ids, seen = t["doc_id"].to_pylist(), set()
         out: list[list] = [[] for _ in range(7)]
         for first, shingle, starts in _shingles(t, size):
             at, there = found(known, shingle)
-            for i, (a, b) in enumerate(zip(starts, starts[1:])):
+            for i, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
                 total, shared = int(b - a), int(there[a:b].sum())
                 prefix = total - -(-num * total // den) + 1 - (total - shared)
                 row = [ids[first + i], total, key[0].as_py(), None, None, None, None]
@@ -177,7 +200,7 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
                         seen.add(row[3])
                         k, f = shingle[a:b][there[a:b]], df[at[a:b][there[a:b]]]
                         o = np.lexsort((k, f))
-                        row[4:] = k[o].tobytes(), f[o].tobytes(), min(prefix, shared)
+                        row[4:] = _narrow(k[o]), f[o].tobytes(), min(prefix, shared)
                 for c, v in zip(out, row):
                     c.append(v)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
@@ -186,37 +209,41 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     back = blocks.mapInArrow(frequencies, bucket_schema(1)).groupBy("bucket").applyInArrow(grouped(repeated, back_schema(1)), back_schema(1))
     rows = checkpointed(blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(cogrouped(ordered, set_schema), set_schema))
 
-    # Equal sets are one: the smallest doc_id stands for all, with the payload of the first block that has it.
-    equal = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.expr("IF(keys IS NULL, NULL, block)")).alias("block"))
-    sets = rows.where("keys IS NOT NULL").join(equal, ["sig", "block"]).select("rep", F.col("n_shingles").cast("int").alias("full"), "keys", "dfs", "prefix")
-    links = _links(checkpointed(sets), num, den)
-
-    named = rows.select("doc_id", "n_shingles", "sig").join(equal.select("sig", "rep"), "sig", "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    twice = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    links = links.union(named.join(twice, "doc_id").where("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found_components = components(links)
-    return named.join(found_components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-
-
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that give the components of sets (rep, full, keys, dfs, prefix)."""
+    # Equal sets are one node, carried by the first block that has it. Rows of one doc_id are connected.
+    node = F.when(F.col("sig").isNotNull(), F.xxhash64("sig")).otherwise(F.xxhash64(F.col("doc_id"), F.lit("alone")))
+    named = rows.select("doc_id", "n_shingles", node.alias("node"))
+    carriers = rows.where("keys IS NOT NULL").groupBy(node.alias("node")).agg(F.min("block").alias("block"))
+    payload = rows.where("keys IS NOT NULL").select(node.alias("node"), "block", F.col("n_shingles").cast("int").alias("full"), "keys", "dfs", "prefix")
+    twice = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("doc_id", "first")
+    links = _links(payload, checkpointed(carriers), num, den).union(named.join(twice, "doc_id").select("first", "node"))
+    comps = components(links)
+    comps = checkpointed(comps.union(comps.select("component", "component")).distinct())
+    least = comps.join(named, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = comps.join(least, "component").select("node", "least")
+    alone = named.groupBy("node").agg(F.min("doc_id").alias("own"))
+    least = alone.join(least, "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
+    return named.join(least, "node").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _links(payload: DataFrame, carriers: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that give the components of sets (node, block, full, keys, dfs, prefix), each taken from the block that carriers (node, block) name."""
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prefix = b["prefix"].to_pylist()
-            keys = [np.frombuffer(k, np.int64, count=p) for k, p in zip(b["keys"].to_pylist(), prefix)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(b["rep"].to_numpy(), prefix))], ["token", "rep"])
+            keys = [_wide(k[: p * KEY_BITS // 8]).astype(np.int64) for k, p in zip(b["keys"].to_pylist(), prefix)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(b["node"].to_numpy(), prefix)), pa.array(np.repeat(b["block"].to_numpy(), prefix))], ["token", "rep", "block"])
 
     def cell(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         rep, full, comp = t["rep"].to_pylist(), t["full"].to_pylist(), t["comp"].to_pylist()
-        keys = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
-        dfs = [np.frombuffer(x, np.uint32) for x in t["dfs"].to_pylist()]
+        keys = [_wide(x) for x in t["keys"].to_pylist()]
+        dfs = [np.frombuffer(x, np.uint8) for x in t["dfs"].to_pylist()]
         pairs = trie_links(keys, dfs, full, comp, num, den)
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array([rep[x] for x, _ in pairs], pa.int64()), pa.array([rep[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
-    payload = sets.select("rep", "full", "keys", "dfs")
-    token_schema = "token long, rep long"
-    shared = sets.mapInArrow(prefixes, token_schema)
+    shared = payload.mapInArrow(prefixes, "token long, rep long, block int").join(carriers.withColumnRenamed("node", "rep"), ["rep", "block"], "left_semi")
+    shared = checkpointed(shared.select("token", "rep"))
+    payload = payload.join(carriers, ["node", "block"], "left_semi").select(F.col("node").alias("rep"), "full", "keys", "dfs")
     meeting = shared.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
 
     # Stars: every set with the smallest one of each of its prefix shingles, in cells.

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from glyphloom.llm.common import packed_blocks, partitions, unpack, whole_blocks
 
@@ -96,7 +97,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     doc_id and text are ignored. A word that is frequent everywhere reaches its bucket once per block.
     """
     n = partitions(docs.sparkSession)
-    blocks = packed_blocks(docs, "doc_id", ["doc_id", "text"], n)
+    blocks = packed_blocks(docs, "doc_id", ["doc_id", "text"], 2 * n)
 
     def words_of(t: pa.Table) -> Iterator[list[str]]:
         find = splitter(pattern)
@@ -154,29 +155,34 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assembled, "doc_id long, n_tokens long, ids binary")
 
 
+def _decoder(path: str) -> Callable[[bytes | None], bytes | None]:
+    """Packed ids to the bytes of their tokens, by the table of token bytes."""
+    look = token_table(path).__getitem__
+    return lambda ids: None if ids is None else b"".join(map(look, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """The input with `decoded` (binary): the token bytes of its packed `ids`, joined."""
-    schema = encoded.select("*").schema.add("decoded", "binary")
+    schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = token_table(path).__getitem__
+        read = _decoder(path)
         for b in batches:
-            out = [None if x is None else b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(read, b["ids"].to_pylist()), pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(task, schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
+def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = [b"%d" % i for i in range(1 << 16)]
+        text, read = [b"%d" % i for i in range(len(token_table(path)))], _decoder(path)
         for b in batches:
-            ids = []
-            for x in b["ids"].to_pylist():
-                v = np.frombuffer(x, "<u4")
-                small = not len(v) or int(v.max()) < len(text)
-                ids.append(sha256(b",".join(map(text.__getitem__, v.tolist())) if small else b",".join(b"%d" % i for i in v.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], pa.array(ids), pa.array([sha256(x).hexdigest() for x in b["decoded"].to_pylist()])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            ids, decoded = [], []
+            for x in b["ids"]:
+                x = x.as_py()
+                ids.append(sha256(b",".join(map(text.__getitem__, np.frombuffer(x, "<u4").tolist()))).hexdigest())
+                decoded.append(sha256(read(x)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

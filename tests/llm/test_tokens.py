@@ -28,7 +28,9 @@ def test_byte_bpe_equals_tiktoken(spark):
     for (i, *_), t in zip(rows, data):
         ids = whole.encode_ordinary(t or "")
         want.append((repr(i), len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256((t or "").encode()).hexdigest()))
-    got = bpe.digests(bpe.decode(bpe.encode(spark.createDataFrame(rows, SCHEMA)))).collect()
+    encoded = bpe.encode(spark.createDataFrame(rows, SCHEMA))
+    got = bpe.digests(encoded).collect()
+    assert sorted(bytes(r.decoded) for r in bpe.decode(encoded).collect()) == sorted((t or "").encode() for t in data)
     assert sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
     assert bpe.encode(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm.common import checkpointed, cogrouped, packed_blocks, partitions, unpack
@@ -96,18 +96,13 @@ def fit_and_score(counts: DataFrame) -> DataFrame:
     for what they take, and the unigrams are interpolated with the uniform distribution. A history
     never seen passes on the lower order whole. Languages without training text get null.
     """
-    uniform = 1.0 / (1 << BITS)
-    every = counts.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    every = checkpointed(every)
-    levels = {ORDER: every.where("c > 0")}
+    tables = {ORDER: checkpointed(counts.groupBy("lang", "gram").agg(F.sum("c").alias("c")))}
     for n in range(ORDER - 1, 0, -1):
-        levels[n] = levels[n + 1].groupBy("lang", _suffix(n).alias("gram")).agg(F.count("*").alias("c"))
-    asked = {ORDER: every.select("lang", "gram")}
-    for n in range(ORDER - 1, 0, -1):
-        asked[n] = asked[n + 1].select("lang", _suffix(n).alias("gram")).distinct()
+        extensions = F.sum(F.when(F.col("c") > 0, 1).otherwise(0))
+        tables[n] = tables[n + 1].groupBy("lang", _suffix(n).alias("gram")).agg(extensions.alias("c"))
     lower = None
     for n in range(1, ORDER + 1):
-        seen = levels[n]
+        seen = tables[n]
         ones = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
@@ -116,19 +111,21 @@ def fit_and_score(counts: DataFrame) -> DataFrame:
             value = F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))
             return F.when((value > 0) & (value < k), value).otherwise(0.5)
 
-        discounts = seen.groupBy("lang").agg(*ones).select("lang", *(discount(k).alias(f"d{k}") for k in (1, 2, 3)))
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        taken = seen.join(discounts, "lang").withColumn("d", d).withColumn("h", F.shiftright("gram", BITS))
-        history = taken.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("weight"))
-        own = taken.select("lang", "gram", (F.col("c") - F.col("d")).alias("left"))
-        q = asked[n].withColumn("h", F.shiftright("gram", BITS)).join(history, ["lang", "h"], "left").join(own, ["lang", "gram"], "left")
+        # One row per language.
+        discounts = F.broadcast(seen.groupBy("lang").agg(*ones).select("lang", *(discount(k).alias(f"d{k}") for k in (1, 2, 3))))
+        d = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        # A history has at most one row per character.
+        history = Window.partitionBy("lang", F.shiftright("gram", BITS))
+        q = seen.join(discounts, "lang").select("lang", "gram", "c", d.alias("d"))
+        q = q.select("lang", "gram", (F.col("c") - F.col("d")).alias("left"), F.sum("c").over(history).alias("total"), F.sum("d").over(history).alias("taken"))
         if lower is None:
-            below = F.when(F.col("weight").isNotNull(), F.lit(uniform))
+            below = F.when(F.col("total") > 0, F.lit(1.0 / (1 << BITS)))
         else:
             q = q.withColumn("low", _suffix(n - 1)).join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("below")), ["lang", "low"])
             below = F.col("below")
-        lower = q.select("lang", "gram", (F.coalesce(F.col("left") / F.col("total"), F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * below).alias("p"))
-    return lower.select("lang", "gram", F.log("p").alias("logp"))
+        p = F.when(F.col("total") > 0, (F.col("left") + F.col("taken") * below) / F.col("total")).otherwise(below)
+        lower = q.select("lang", "gram", p.alias("p"))
+    return checkpointed(lower.select("lang", "gram", F.log("p").alias("logp")))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

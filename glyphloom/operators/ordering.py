@@ -97,11 +97,16 @@ def by_frame(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``.
 
-    Only where none is configured (local tests) a temporary folder is used.
+    Where none is configured, a local master (tests) uses a temporary folder and a
+    cluster gets an error: its executors share no local folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphloom-checkpoint-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="glyphloom-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -36,6 +36,10 @@ def time_range(frames: DataFrame, start: str | None = None, end: str | None = No
     return frames.filter(range_filter(F.col("t_us"), start, end))
 
 
+#: Ticks of one block.
+TICKS = 65536
+
+
 def resample_timeline(frames: DataFrame, fps: int, per_seconds: int = 1) -> DataFrame:
     """Constant rate of ``fps`` ticks per ``per_seconds``: each tick shows the latest
     frame at or before it. Frames must be numbered in time order, first at t = 0.
@@ -54,6 +58,9 @@ def resample_timeline(frames: DataFrame, fps: int, per_seconds: int = 1) -> Data
     held = indexed.join(following, ["clip_id", "frame_idx"], "left")
     first = tick_from(F.col("t_us"))
     last = F.when(F.col("_next").isNotNull(), tick_from(F.col("_next")) - 1).otherwise(idiv(F.col("t_us") * fps, span))
-    ticks = F.when(first <= last, F.sequence(first, last))
-    return held.select("clip_id", F.explode(ticks).alias("tick"), "frame_no", "t_us").select(
+    # A frame may hold for billions of ticks: blocks of ticks first, spread out, then the ticks of a block.
+    blocks = F.when(first <= last, F.sequence(idiv(first, TICKS), idiv(last, TICKS)))
+    blocked = held.select("clip_id", "frame_no", first.alias("_first"), last.alias("_last"), F.explode(blocks).alias("_block"))
+    ticks = F.sequence(F.greatest("_first", F.col("_block") * TICKS), F.least("_last", F.col("_block") * TICKS + (TICKS - 1)))
+    return blocked.select("clip_id", F.explode(ticks).alias("tick"), "frame_no").select(
         "clip_id", (F.col("tick") + 1).alias("new_frame_no"), idiv(F.col("tick") * span, fps).alias("tick_us"), "frame_no")

@@ -52,5 +52,5 @@ def preprocess_corpus(pixels: DataFrame, preset: str | None = None, steps: list
     """Filter every image of a corpus, frame numbers kept; written by clip when a path is given."""
     filtered = apply_filter(pixels, preset, steps)
     if path is not None:
-        filtered.write.partitionBy("clip_id").mode("overwrite").parquet(path)
+        filtered.write.partitionBy("clip_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return filtered

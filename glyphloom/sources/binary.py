@@ -75,11 +75,12 @@ def frame_header(raw: Column) -> Column:
     """``struct(width, height, body_end, background_at)``: sizes from the header,
     ``background_at`` is the 0-based start of the background payload or null."""
     w, h = u32_at(raw, 1), u32_at(raw, 5)
-    body_end = F.lit(8) + w * h * 4
-    extra = F.octet_length(raw) - body_end
-    flag = F.conv(F.hex(F.substring(raw, (body_end + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    flagged = (extra > w * h * 3) & (flag.bitwiseAND(FLAG_HAS_BACKGROUND) != 0)
-    start = F.when(flagged, body_end + 1).when((extra == w * h * 3) & (extra > 0), body_end)
+    area = F.try_multiply(w, h)
+    body_end = F.try_add(F.try_multiply(area, F.lit(4)), F.lit(8))
+    extra, back = F.octet_length(raw) - body_end, F.try_multiply(area, F.lit(3))
+    flag = F.conv(F.hex(F.substring(raw, F.try_add(body_end, F.lit(1)).try_cast("int"), F.lit(1))), 16, 10).cast("int")
+    flagged = (extra > back) & (flag.bitwiseAND(FLAG_HAS_BACKGROUND) != 0)
+    start = F.when(flagged, body_end + 1).when((extra == back) & (extra > 0), body_end)
     return F.struct(w.alias("width"), h.alias("height"), body_end.alias("body_end"), start.alias("background_at"))
 
 
@@ -91,6 +92,7 @@ def raw_reject_reason(raw: Column) -> Column:
         F.when(raw.isNull(), F.lit("unreadable"))
         .when(size < 8, F.lit("too_small"))
         .when((head["width"] == 0) | (head["height"] == 0), F.lit("zero_dims"))
+        .when(head["body_end"].isNull(), F.lit("dims_overflow"))
         .when(size < head["body_end"], F.lit("truncated"))
     )
 
@@ -134,8 +136,9 @@ def scan_cell_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def byte_of(value: Column) -> Column:
-    """One byte as BINARY."""
-    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2, "0"))
+    """One byte as BINARY; null for a value that is none."""
+    v = value.cast("bigint")
+    return F.when(v.between(0, 255), F.unhex(F.lpad(F.hex(v), 2, "0")))
 
 
 def u32_bytes(value: Column) -> Column:
@@ -183,12 +186,13 @@ PACK_PART_BYTES = 256 * 1024 * 1024
 def pack_frames(frames: DataFrame, part_bytes: int = PACK_PART_BYTES, block: int = 4096) -> DataFrame:
     """All frames of a clip, in order, as archives: clip_id, part, blob.
 
+    Rejected frames (null ``raw``) are left out.
     A clip whose frames fit in ``part_bytes`` gives exactly one archive. A larger
     clip is cut into several complete archives, so no clip has to fit in one row
     or one task. Where a part ends follows from running byte totals, taken per
     block of frames and then across blocks.
     """
-    sized = frames.select(
+    sized = frames.where("raw IS NOT NULL").select(
         "clip_id", "frame_no", "raw", (F.octet_length("raw") + 4).cast("bigint").alias("size"), idiv(F.col("frame_no"), block).alias("_block"))
     totals = sized.groupBy("clip_id", "_block").agg(F.sum("size").alias("s"))
     before = W.partitionBy("clip_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

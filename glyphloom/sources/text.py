@@ -13,9 +13,9 @@ NUMBERED = r"(?:^|/)frame_\+?([0-9]+)\.[^./]*$"
 
 
 def with_frame_no(df: DataFrame, path: str = "path") -> DataFrame:
-    """Frame number from the file name; files that carry none are left out."""
+    """Frame number from the file name; files that carry none, or one beyond 64 bits, are left out."""
     digits = F.regexp_extract(path, NUMBERED, 1)
-    return df.withColumn("frame_no", F.when(digits != "", digits.cast("bigint"))).filter("frame_no is not null")
+    return df.withColumn("frame_no", F.when(digits != "", digits.try_cast("bigint"))).filter("frame_no is not null")
 
 
 def index_frames(df: DataFrame, path: str = "path") -> DataFrame:

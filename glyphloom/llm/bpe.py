@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from glyphloom.llm.common import packed_blocks, partitions, unpack, whole_blocks
+from glyphloom.llm.common import BLOCKS, packed_blocks, partitions, unpack, whole_blocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -97,7 +97,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     doc_id and text are ignored. A word that is frequent everywhere reaches its bucket once per block.
     """
     n = partitions(docs.sparkSession)
-    blocks = packed_blocks(docs, "doc_id", ["doc_id", "text"], 2 * n)
+    blocks = packed_blocks(docs, "doc_id", ["doc_id", "text"], BLOCKS * n)
 
     def words_of(t: pa.Table) -> Iterator[list[str]]:
         find = splitter(pattern)

@@ -18,6 +18,10 @@ FLUSH_BYTES = 12 << 20
 CHUNK_BYTES = 2 << 20
 
 
+#: Blocks per shuffle partition: a Python worker holds one block at a time.
+BLOCKS = 2
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import (KEY_BITS, Substrings, back_schema, bucket_schema, checkpointed, chunks, cogrouped, components, counted, found,
+from glyphloom.llm.common import (BLOCKS, KEY_BITS, Substrings, back_schema, bucket_schema, checkpointed, chunks, cogrouped, components, counted, found,
                                   grouped, packed_blocks, packed_keys, partitions, range_rows, texts_of, unpack, unpacked_keys, whole_blocks, words)
 
 #: Sets that one trie holds.
@@ -151,7 +151,7 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     Shingles are compared by 48-bit hashes.
     """
     n = partitions(docs.sparkSession)
-    blocks = packed_blocks(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ["doc_id", "text"], n)
+    blocks = packed_blocks(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ["doc_id", "text"], BLOCKS * n)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in whole_blocks(batches):

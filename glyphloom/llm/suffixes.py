@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glyphloom.llm.common import (Substrings, back_rows, back_schema, bucket_rows, bucket_schema, byte_values, chunks, cogrouped, found, grouped, joined,
+from glyphloom.llm.common import (BLOCKS, Substrings, back_rows, back_schema, bucket_rows, bucket_schema, byte_values, chunks, cogrouped, found, grouped, joined,
                                   owners, packed_blocks, partitions, texts_of, unpack, whole_blocks, words)
 
 _PLACE = 28  # bits of a place in a chunk; the others order the grams
@@ -97,7 +97,7 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
     """
     n = partitions(docs.sparkSession)
     columns = ["doc_id", "text", *carry]
-    blocks = packed_blocks(docs, "doc_id", columns, n)
+    blocks = packed_blocks(docs, "doc_id", columns, BLOCKS * n)
 
     def runs_of(t: pa.Table):
         for first, data, starts in chunks(texts_of(t)):

@@ -447,11 +447,11 @@ sn AS (SELECT i.clip_id, min(frame_no) AS second_no FROM i JOIN fi ON i.clip_id
 add("loop_slices", with_(EVENTS, _idx, _sl, "ed AS (SELECT clip_id, frame_no, CAST(row_number() OVER (PARTITION BY clip_id ORDER BY frame_no) - 1 AS INT) AS ix FROM i WHERE frame_no % 13 <> 6)") + """
 SELECT sn.clip_id, CAST(1 AS BIGINT) AS first_no, second_no, a.ix AS start_idx, b.ix AS end_idx FROM sn JOIN ed a ON a.clip_id = sn.clip_id AND a.frame_no = 1
 JOIN ed b ON b.clip_id = sn.clip_id AND b.frame_no = second_no""")
-add("export_loop", with_(EVENTS, _idx, _sl) + "SELECT clip_id, frame_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no <= second_no")
+add("export_loop", with_(EVENTS, _idx, _sl) + "SELECT clip_id, CAST(1 AS BIGINT) AS first_no, second_no, frame_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no <= second_no")
 add("repeat_loop", with_(EVENTS, _idx, _sl) + """
-SELECT clip_id, frame_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no <= second_no
-UNION ALL SELECT clip_id, frame_no + second_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no <= second_no
-UNION ALL SELECT clip_id, frame_no + second_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no > second_no""")
+SELECT clip_id, CAST(1 AS BIGINT) AS first_no, second_no, frame_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no <= second_no
+UNION ALL SELECT clip_id, CAST(1 AS BIGINT), second_no, frame_no + second_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no <= second_no
+UNION ALL SELECT clip_id, CAST(1 AS BIGINT), second_no, frame_no + second_no, text FROM i JOIN sn USING (clip_id) WHERE frame_no > second_no""")
 
 # ---------------------------------------------------------------- timelines
 _rel = "re AS (SELECT clip_id, frame_no, t_us - min(t_us) OVER (PARTITION BY clip_id) AS t_us FROM ev)"

@@ -2,6 +2,7 @@
 
 import struct
 
+from glyphloom.operators import loops
 from glyphloom.operators.timeline import resample_timeline
 from glyphloom.sources.binary import encode_cell_frames, pack_frames, raw_reject_reason, unpack_frames
 from glyphloom.sources.text import with_frame_no
@@ -35,3 +36,13 @@ def test_long_gap_in_a_timeline(spark):
     df = spark.createDataFrame([(1, 0, 0), (1, 1, 10 * year)], "clip_id long, frame_no long, t_us long")
     out = resample_timeline(df, 1, 3600)
     assert out.count() == 10 * 365 * 24 + 1 and out.filter("frame_no = 1").count() == 1
+
+
+def test_several_loops_of_a_clip_stay_apart(spark):
+    frames = spark.createDataFrame([(1, n, t) for n, t in enumerate("abcab", 1)], "clip_id long, frame_no long, text string")
+    slices = spark.createDataFrame([(1, 1, 4, 0, 3), (1, 2, 5, 1, 4)], "clip_id long, first_no long, second_no long, start_idx int, end_idx int")
+    out = {}
+    for r in loops.export_loop(frames, slices).orderBy("frame_no").collect():
+        out[r.first_no] = out.get(r.first_no, "") + r.text
+    assert out == {1: "abca", 2: "bcab"}
+    assert loops.repeat_loop(frames, slices).groupBy("first_no").count().orderBy("first_no").collect() == [(1, 9), (2, 9)]

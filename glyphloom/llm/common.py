@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructType
 #: A scan task hands over the texts gathered for its blocks when they reach this many bytes.
 FLUSH_BYTES = 12 << 20
 #: Texts are hashed in chunks of about this many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 #: Blocks per shuffle partition: a Python worker holds one block at a time.
@@ -49,6 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system: the next worker or the JVM of the executor may need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # --- packed blocks of documents ---------------------------------------------------------------
 
 def packed_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int) -> DataFrame:
@@ -83,8 +93,11 @@ def packed_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int)
             if size >= FLUSH_BYTES:
                 yield from flush()
                 held, size = [], 0
+                give_back()
         if held and sum(map(len, held)):
             yield from flush()
+        held = []
+        give_back()
 
     return frame.mapInArrow(pack, "block int, payload binary").repartition(partitions(docs.sparkSession), "block")
 
@@ -106,10 +119,12 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Ta
             held.setdefault(block, []).append(payload)
     for block in list(held):
         yield block, unpack(held.pop(block))
+        give_back()
 
 
 def _table(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
     got = list(batches)
+    give_back()
     return pa.Table.from_batches(got) if got else schema.empty_table()
 
 

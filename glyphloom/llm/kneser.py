@@ -28,7 +28,7 @@ QUANTILE, MARGIN = 0.95, 1.5
 PRIOR_CHARS = 50
 #: Documents whose crc32(doc_id) leaves this remainder by FOLDS set the thresholds; the others train.
 FOLDS = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _grams(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

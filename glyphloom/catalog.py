@@ -63,12 +63,12 @@ def ramp_distance(spark, sf):
 
 @query
 def rgb_distance_l2(spark, sf):
-    return A.lineitem_cells(spark, sf).filter("br is not null").select(*CELL_KEYS, X.rgb_distance_l2(fore(), back()).alias("distance"))
+    return A.lineitem_cells(spark, sf).select(*CELL_KEYS, X.rgb_distance_l2(fore(), back()).alias("distance"))
 
 
 @query
 def rgb_distance_l1(spark, sf):
-    return A.lineitem_cells(spark, sf).filter("br is not null").select(*CELL_KEYS, F.round(X.rgb_distance_l1(fore(), back()), 6).alias("distance"))
+    return A.lineitem_cells(spark, sf).select(*CELL_KEYS, F.round(X.rgb_distance_l1(fore(), back()), 6).alias("distance"))
 
 
 @query

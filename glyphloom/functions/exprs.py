@@ -104,9 +104,9 @@ def ramp_distance(left, right, ramp: str = DEFAULT_RAMP) -> Column:
 
 
 def rgb_distance_l2(left, right) -> Column:
-    """Scaled Euclidean distance 0..255 of two (r, g, b) triples."""
+    """Scaled Euclidean distance 0..255 of two (r, g, b) triples; null if a channel is."""
     squares = sum(((_c(a) - _c(b)) * (_c(a) - _c(b)) for a, b in zip(left, right)), F.lit(0))
-    return F.least(F.lit(255), F.round(F.sqrt(squares / 3.0)).cast("int"))
+    return F.when(squares.isNotNull(), F.least(F.lit(255), F.round(F.sqrt(squares / 3.0)).cast("int")))
 
 
 def rgb_distance_l1(left, right) -> Column:

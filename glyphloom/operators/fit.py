@@ -27,6 +27,14 @@ def dimension(table: DataFrame, limit: int = MAX_ATLAS_ROWS) -> DataFrame:
     return F.broadcast(table) if small_enough(table, limit) else table
 
 
+def dense_atlas(atlas: DataFrame, cell_width: int, cell_height: int) -> DataFrame:
+    """One row per glyph and pixel of a cell: pixels the table leaves out have no coverage, those outside the cell go."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(cell_width * cell_height - 1)), lambda p: F.struct(
+        idiv(p, cell_width).cast("int").alias("py"), (p % cell_width).cast("int").alias("px")))
+    full = atlas.select("glyph").distinct().select("glyph", F.explode(places).alias("at")).select("glyph", "at.py", "at.px")
+    return full.join(atlas.select("glyph", "py", "px", "alpha"), ["glyph", "py", "px"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+
+
 def atlas_sums(atlas: DataFrame) -> DataFrame:
     """Per glyph: the sums the closed form needs and whether it is degenerate."""
     a, b = F.col("alpha"), 1 - F.col("alpha")
@@ -77,7 +85,7 @@ def cell_gate(stats: DataFrame, threshold: int, bg_threshold: int) -> DataFrame:
 
 def fit_glyph_colors(pixels: DataFrame, atlas: DataFrame, ramp: str, cell_width: int, cell_height: int) -> DataFrame:
     """One row per (cell, candidate glyph): rounded colours and their squared error."""
-    table = candidates(atlas, ramp)
+    table = candidates(dense_atlas(atlas, cell_width, cell_height), ramp)
     spots = patches(pixels, cell_width, cell_height).join(dimension(table), ["py", "px"])
     sums = spots.groupBy(*CELL_KEYS, "glyph", "ramp_pos").agg(
         *_stat_columns(), *[F.sum(F.col("alpha") * F.col(c)).alias(f"ap_{c}") for c in "rgb"])
@@ -166,7 +174,7 @@ def fit_cells(pixels: DataFrame, atlas: DataFrame, ramp: str, cell_width: int, c
     """Gate, fit and choose per cell of a grid-times-cell image; cells that show no
     glyph never reach the solver. One shuffle (pixels to cells)."""
     bg_threshold = threshold if bg_threshold is None else bg_threshold
-    table = candidates(atlas, ramp)
+    table = candidates(dense_atlas(atlas, cell_width, cell_height), ramp)
     cover = table.limit(MAX_ATLAS_ROWS + 1).toPandas()  # the size check: never more than the bound reaches the driver
     if len(cover) > MAX_ATLAS_ROWS:
         return _fit_cells_relational(pixels, atlas, ramp, cell_width, cell_height, threshold, bg_threshold)

@@ -69,9 +69,9 @@ def _near(name: str, step: int, line):
     if step == 0:
         return F.col(name)
     if step < 0:
-        edge = F.first(name).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))
+        edge = F.first(name).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
         return F.coalesce(F.lag(name, -step).over(line), edge)
-    edge = F.last(name).over(line.rowsBetween(W.currentRow, W.unboundedFollowing))
+    edge = F.last(name).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return F.coalesce(F.lead(name, step).over(line), edge)
 
 

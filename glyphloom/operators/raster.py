@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import blend_channel, idiv
-from glyphloom.operators.fit import dimension
+from glyphloom.operators.fit import dense_atlas, small_enough
 from glyphloom.schemas import FRAME_KEYS
 
 
@@ -35,12 +35,13 @@ def rasterise_cells(cells: DataFrame, atlas: DataFrame, cell_width: int, cell_he
     Each cell writes its own pixels: one row per glyph of the table carries the
     whole coverage as an array, so the join has one small side and no shuffle.
     """
-    table = thicken_atlas(atlas, stroke_width)
+    table = dense_atlas(thicken_atlas(atlas, stroke_width), cell_width, cell_height)
     level = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.col("alpha") * 255.0))).cast("int")
     spots = F.array_sort(F.collect_list(F.struct("py", "px", level.alias("a"))))
     masks = table.groupBy("glyph").agg(F.transform(spots, lambda s: s["a"]).alias("mask"))
+    masks = F.broadcast(masks) if small_enough(table) else masks
     n = cell_width * cell_height
-    lit_cells = cells.join(dimension(masks), "glyph", "left").select(
+    lit_cells = cells.join(masks, "glyph", "left").select(
         *FRAME_KEYS, "row", "col", *[(F.coalesce(F.col(f"f{c}"), F.lit(255)) if use_colors else F.lit(255)).alias(f"f{c}") for c in "rgb"],
         *[F.coalesce(F.col(f"b{c}"), F.lit(0)).alias(f"b{c}") for c in "rgb"],
         F.posexplode(F.coalesce("mask", F.array_repeat(F.lit(0), n))).alias("p", "a"))

@@ -119,8 +119,8 @@ add("ramp_distance", with_(CELLS, f"g AS (SELECT *, {glyph(luma(), 40, TINY)} AS
 SELECT {KEYS}, round(CASE WHEN glyph = g2 THEN 0.0 WHEN strpos({q(RAMP)}, glyph) = 0 OR strpos({q(RAMP)}, g2) = 0 THEN 1.0
   ELSE abs(strpos({q(RAMP)}, glyph) - strpos({q(RAMP)}, g2))/67.0::DOUBLE END, 6) AS distance FROM g""")
 add("rgb_distance_l2", with_(CELLS) + f"""SELECT {KEYS},
-  CAST(least(255, round(sqrt(((fr-br)*(fr-br) + (fg-bg)*(fg-bg) + (fb-bb)*(fb-bb))/3.0::DOUBLE))) AS INT) AS distance FROM c WHERE br IS NOT NULL""")
-add("rgb_distance_l1", with_(CELLS) + f"SELECT {KEYS}, round((abs(fr-br) + abs(fg-bg) + abs(fb-bb))/765.0::DOUBLE, 6) AS distance FROM c WHERE br IS NOT NULL")
+  CASE WHEN br IS NOT NULL THEN CAST(least(255, round(sqrt(((fr-br)*(fr-br) + (fg-bg)*(fg-bg) + (fb-bb)*(fb-bb))/3.0::DOUBLE))) AS INT) END AS distance FROM c""")
+add("rgb_distance_l1", with_(CELLS) + f"SELECT {KEYS}, round((abs(fr-br) + abs(fg-bg) + abs(fb-bb))/765.0::DOUBLE, 6) AS distance FROM c")
 
 
 def hue(r, g, b, deg, out):

@@ -46,3 +46,30 @@ def test_several_loops_of_a_clip_stay_apart(spark):
         out[r.first_no] = out.get(r.first_no, "") + r.text
     assert out == {1: "abca", 2: "bcab"}
     assert loops.repeat_loop(frames, slices).groupBy("first_no").count().orderBy("first_no").collect() == [(1, 9), (2, 9)]
+
+
+def test_sparse_coverage_draws_in_its_place(spark):
+    """Pixels a coverage table leaves out count as uncovered, in drawing and in fitting."""
+    from glyphloom.operators import fit, raster
+    from glyphloom.schemas import CELLS_DDL
+
+    full = [("#", y, x, 1.0 if (y, x) == (1, 1) else 0.0) for y in range(2) for x in range(2)]
+    dense, sparse = (spark.createDataFrame(r, "glyph string, py int, px int, alpha double") for r in (full, full[3:]))
+    cells = spark.createDataFrame([(1, 0, 0, 0, "#", 200, 100, 50, 10, 20, 30)], CELLS_DDL)
+    drawn = [sorted(map(tuple, raster.rasterise_cells(cells, a, 2, 2).collect())) for a in (dense, sparse)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 4 and drawn[0][3][-3:] == (200, 100, 50)
+    pixels = raster.rasterise_cells(cells, dense, 2, 2).selectExpr("clip_id", "frame_no", "2 as width", "2 as height", "y", "x", "r", "g", "b")
+    fits = [sorted(map(tuple, fit.fit_cells(pixels, a, "#", 2, 2).collect())) for a in (dense, sparse)]
+    assert fits[0] == fits[1] and fits[0][0][4] == "#"
+
+
+def test_glyphs_beyond_a_byte_differ():
+    from glyphloom.operators.similarity import LoopOptions, glyph_codes, pair_scores
+
+    def block(*texts):
+        import numpy as np
+        return {"glyphs": np.stack([glyph_codes(t) for t in texts])}
+
+    options = LoopOptions(mode="visual_text")
+    scores = pair_scores(block("ab\u2588d"), block("ab\u2588d", "ab\u2592d", "ab?d"), options, False)[0]
+    assert scores[0] == 1.0 and scores[1] < 1.0 and scores[2] < 1.0

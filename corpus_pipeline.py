@@ -64,7 +64,7 @@ STAGES = [
     ("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages),
     ("personal data", personal_data), ("best-fit packing", packed),
 ]
-#: The stages can't be said in SQL; tests/llm holds run() against a brute-force version.
+#: The stages can't be said in SQL; tests/llm holds each against a brute-force version on what the one before kept.
 ORACLE_SQL = None
 
 

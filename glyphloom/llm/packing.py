@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences: local best fit, then a tree of merges.
 
 Tokenising: texts are split at white space (no token of the vocabulary spans it) and each distinct
-stretch is encoded by the tokenizers library once per worker cache. Packing works on sizes and small
+stretch is encoded by the tokenizers library once per task's cache. Packing works on sizes and small
 member lists only; tokens are not moved.
 """
 
@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import checkpointed, partitions, texts_of
+from glyphloom.llm.common import checkpointed, give_back, partitions
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Tokens of a sequence.
@@ -28,8 +28,8 @@ CAPACITY = 2048
 NEARLY_FULL = 0.995
 #: Bins that one merging task takes at most.
 TASK_BINS = 100_000
-#: Stretches that a worker keeps; at this many the cache starts anew.
-CACHE_WORDS = 400_000
+#: Stretches that a task keeps; at this many the cache starts anew.
+CACHE_WORDS = 200_000
 
 # White space as the vocabulary's splitting pattern has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,7 +60,7 @@ class _Known(dict):
 
 
 class _Encoder:
-    """A worker's tokenizer and its caches of packed ids: by word of a Latin text, by stretch of any other."""
+    """A worker's tokenizer and a task's caches of packed ids: by word of a Latin text, by stretch of any other."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -87,6 +87,12 @@ class _Encoder:
             return self.stretches.all(_STRETCH.findall(text))
         return self.words.all(_WORD.findall(text.lower()))
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that has no such task any more would keep their memory from the other stages."""
+        self.words.clear()
+        self.stretches.clear()
+        give_back()
+
 
 def encode_texts(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     """Ids of each text as packed little-endian unsigned 32-bit numbers."""
@@ -114,6 +120,8 @@ def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int =
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             n = 6 if with_ids else 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:n], types)], names[:n])
+        if vocabulary in _WORKER:
+            _WORKER[vocabulary].forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE + ", ids binary" * with_ids)
 

@@ -79,7 +79,7 @@ def hue_shift(spark, sf):
 @query
 def blend_channel(spark, sf):
     alpha = (F.col("row") * 14 + F.col("col")) % 256
-    return A.lineitem_cells(spark, sf).filter("br is not null").select(
+    return A.lineitem_cells(spark, sf).select(
         *CELL_KEYS, *[X.blend_channel(b, f, alpha).alias(n) for b, f, n in zip(back(), fore(), "rgb")])
 
 

@@ -180,34 +180,37 @@ def encode_cell_frames(cells: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- packs
-PACK_PART_BYTES = 256 * 1024 * 1024
+PACK_ROW_BYTES = 2**31 - 2**20  # what one BINARY value can hold, with some room
 
 
-def pack_frames(frames: DataFrame, part_bytes: int = PACK_PART_BYTES, block: int = 4096) -> DataFrame:
-    """All frames of a clip, in order, as archives: clip_id, part, blob.
+def pack_frames(frames: DataFrame, part_bytes: int | None = None, block: int = 4096) -> DataFrame:
+    """All frames of a clip, in order, as archives: clip_id, part, blob, reject_reason.
 
-    Rejected frames (null ``raw``) are left out.
-    A clip whose frames fit in ``part_bytes`` gives exactly one archive. A larger
-    clip is cut into several complete archives, so no clip has to fit in one row
-    or one task. Where a part ends follows from running byte totals, taken per
-    block of frames and then across blocks.
+    Rejected frames (null ``raw``) are left out. A clip gives exactly one archive; one
+    that no row can hold has a null ``blob`` and the reason ``too_large``. With
+    ``part_bytes`` a clip is cut into several complete archives instead, so that no
+    clip has to fit in one row or one task. Where a part ends follows from running
+    byte totals, taken per block of frames and then across blocks.
     """
     sized = frames.where("raw IS NOT NULL").select(
         "clip_id", "frame_no", "raw", (F.octet_length("raw") + 4).cast("bigint").alias("size"), idiv(F.col("frame_no"), block).alias("_block"))
     totals = sized.groupBy("clip_id", "_block").agg(F.sum("size").alias("s"))
     before = W.partitionBy("clip_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("clip_id", "_block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select("clip_id", "_block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"),
+                           F.sum("s").over(W.partitionBy("clip_id")).alias("_total"))
     upto = W.partitionBy("clip_id", "_block").orderBy("frame_no").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         sized.withColumn("_run", F.coalesce(F.sum("size").over(upto), F.lit(0)))
         .join(starts, ["clip_id", "_block"])
-        .withColumn("part", idiv(F.col("_start") + F.col("_run"), part_bytes).cast("int"))
+        .withColumn("part", idiv(F.col("_start") + F.col("_run"), part_bytes).cast("int") if part_bytes else F.lit(0))
+        .withColumn("_fits", F.lit(True) if part_bytes else F.col("_total") <= PACK_ROW_BYTES)
     )
-    entry = F.concat(u32_bytes(F.octet_length("raw")), F.col("raw"))
+    entry = F.when(F.col("_fits"), F.concat(u32_bytes(F.octet_length("raw")), F.col("raw")))
     bodies = placed.withColumn("_entry", entry).groupBy("clip_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.expr("listagg(_entry, X'') within group (order by frame_no)").alias("body"))
+        F.count(F.lit(1)).alias("n"), F.bool_and("_fits").alias("fits"), F.expr("listagg(_entry, X'') within group (order by frame_no)").alias("body"))
     head = F.concat(F.lit(PACK_MAGIC), u32_bytes(F.lit(PACK_VERSION)), u32_bytes(F.col("n")))
-    return bodies.select("clip_id", "part", F.concat(head, F.col("body")).alias("blob"))
+    return bodies.select("clip_id", "part", F.when(F.col("fits"), F.concat(head, F.col("body"))).alias("blob"),
+                         F.when(~F.col("fits"), F.lit("too_large")).alias("reject_reason"))
 
 
 UNPACKED_DDL = "clip_id bigint, part int, frame_no bigint, raw binary, reject_reason string"
@@ -221,7 +224,7 @@ def unpack_frames(packs: DataFrame) -> DataFrame:
     schema = pa.schema([("clip_id", pa.int64()), ("part", pa.int32()), ("frame_no", pa.int64()), ("raw", pa.binary()), ("reject_reason", pa.string())])
 
     def spans(blob):
-        if len(blob) < 12:
+        if blob is None or len(blob) < 12:
             return None, "too_small"
         if blob[:4] != PACK_MAGIC:
             return None, "bad_magic"

@@ -141,7 +141,7 @@ add("hue_shift", with_(CELLS, "f0 AS (SELECT * FROM c)", hue("fr", "fg", "fb", "
     f"k0 AS (SELECT {KEYS}, br, bg, bb FROM c WHERE br IS NOT NULL)", hue("br", "bg", "bb", "(-40.0)::DOUBLE", "k")) + f"""
 SELECT f5.clip_id, f5.frame_no, f5.row, f5.col, f5.nr AS fr, f5.ng AS fg, f5.nb AS fb, k5.nr AS br, k5.ng AS bg, k5.nb AS bb, f5.glyph
 FROM f5 LEFT JOIN k5 USING ({KEYS})""")
-add("blend_channel", with_(CELLS, f"a AS (SELECT *, (row*14 + col) % 256 AS a FROM c WHERE br IS NOT NULL)") + f"""SELECT {KEYS},
+add("blend_channel", with_(CELLS, "a AS (SELECT *, (row*14 + col) % 256 AS a FROM c)") + f"""SELECT {KEYS},
   (br*(255-a) + fr*a + 127)//255 AS r, (bg*(255-a) + fg*a + 127)//255 AS g, (bb*(255-a) + fb*a + 127)//255 AS b FROM a""")
 add("is_blank", with_(CELLS) + f"SELECT {KEYS}, glyph IN (' ', chr(0)) AS blank, glyph <> ' ' AS occupied FROM c")
 add("parse_timestamp", """

@@ -21,9 +21,8 @@ from glyphloom.llm.common import BLOCKS, checkpointed, cogrouped, packed_blocks,
 ORDER = 4
 #: Bits of a character; those beyond are one character.
 BITS = 12
-#: A language's threshold is this quantile of the perplexities of its held-out trusted documents, raised by a
-#: factor, so that single odd documents do not set it.
-QUANTILE, MARGIN = 0.95, 1.5
+#: A language's threshold is this quantile of the perplexities by which its held-out trusted documents are judged.
+QUANTILE = 0.99
 #: A text is judged as if it went on for so many characters at the language's median perplexity: short texts vary.
 PRIOR_CHARS = 50
 #: Documents whose crc32(doc_id) leaves this remainder by FOLDS set the thresholds; the others train.
@@ -171,11 +170,17 @@ def perplexities(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()
     return scored, trusted.select("doc_id", "held_out")
 
 
-def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, centre, threshold), one row per language with held-out trusted documents."""
-    held = scored.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "perplexity").join(trusted.where("held_out"), "doc_id")
-    q = F.percentile_approx("perplexity", [0.5, quantile], 100_000)
-    return held.where("perplexity IS NOT NULL").groupBy("lang").agg(q.alias("q")).select("lang", F.col("q")[0].alias("centre"), (F.col("q")[1] * margin).alias("threshold"))
+def _drawn():
+    """The perplexity a text is judged by: that of the text gone on for PRIOR_CHARS characters at the language's centre."""
+    return F.exp((F.col("scored_chars") * F.log("perplexity") + PRIOR_CHARS * F.log("centre")) / (F.col("scored_chars") + PRIOR_CHARS))
+
+
+def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang, centre, threshold), one row per language with held-out trusted documents: the median of their perplexities, and the quantile of the drawn ones."""
+    held = scored.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "scored_chars", "perplexity").join(trusted.where("held_out"), "doc_id").where("perplexity IS NOT NULL")
+    held = checkpointed(held.select("lang", "scored_chars", "perplexity"))  # read twice
+    centres = held.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 100_000).alias("centre"))
+    return held.join(F.broadcast(centres), "lang").groupBy("lang").agg(F.first("centre").alias("centre"), F.percentile_approx(_drawn(), quantile, 100_000).alias("threshold"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -190,5 +195,4 @@ def judged(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> D
         scored = checkpointed(scored)
     limits = thresholds(scored, trusted).withColumnRenamed("lang", "__lang")
     out = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("und")) == F.col("__lang"), "left").drop("__lang")
-    drawn = F.exp((F.col("scored_chars") * F.log("perplexity") + PRIOR_CHARS * F.log("centre")) / (F.col("scored_chars") + PRIOR_CHARS))
-    return out.withColumn("keep", F.coalesce(drawn <= F.col("threshold"), F.lit(True))).drop("centre")
+    return out.withColumn("keep", F.coalesce(_drawn() <= F.col("threshold"), F.lit(True))).drop("centre")

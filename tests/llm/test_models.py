@@ -99,6 +99,18 @@ def test_kneser_separates_labelled_quality(spark):
     good, bad = [r.keep for r in out if r.quality == 1 and r.toxic == 0], [r.keep for r in out if r.quality == 0]
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.35
 
+def test_kneser_threshold_is_the_quantile_of_judged_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    out = [r for r in kneser.judged(docs, labels).join(labels, "doc_id").collect() if r.perplexity is not None]
+    bad = [r.keep for r in out if r.quality == 0]
+    assert np.mean(bad) < 0.12, np.mean(bad)
+    held = [r for r in out if r.quality == 1 and r.toxic == 0 and zlib.crc32(str(r.doc_id).encode()) % kneser.FOLDS == 0]
+    for lang in {r.lang for r in held}:
+        mine = [r for r in held if r.lang == lang]
+        centre = np.quantile([r.perplexity for r in mine], 0.5, method="inverted_cdf")
+        drawn = sorted(math.exp((r.scored_chars * math.log(r.perplexity) + kneser.PRIOR_CHARS * math.log(centre)) / (r.scored_chars + kneser.PRIOR_CHARS)) for r in mine)
+        assert np.isclose(mine[0].threshold, drawn[math.ceil(0.99 * len(drawn)) - 1])
+
 def test_kneser_empty(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert kneser.judged(docs, labels).count() == 0

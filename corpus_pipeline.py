@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import jaccard, kneser, packing, personal, suffixes
-from glyphloom.llm.common import checkpoint_folder, table
+from glyphloom.llm.common import checkpoint_folder, checkpointed, table
 
 #: Passages from this many words on that occur twice are removed.
 PASSAGE_WORDS = 50
@@ -38,9 +38,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents connected by a similarity of 0.8 or more on five-word shingles, the smallest doc_id stays. Rows without doc_id stay."""
-    found = jaccard.near_components(docs, size=5, num=80, den=100)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of the rows connected by a similarity of 0.8 or more on five-word shingles, one of the smallest doc_id stays.
+
+    Every row is a document of its own, also one without doc_id (which comes after those with one) or of a doc_id met before;
+    rows of equal doc_id and text are one document, and the least of them by all columns stays. Texts without words are not linked:
+    those without doc_id all stay.
+    """
+    # A key from the row's content: it is the same wherever the row is read again.
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = jaccard.near_components(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, num=80, den=100)
+    keys = checkpointed(found.groupBy(F.col("doc_id").alias("__key"), "component_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")))
+    linked = keys.join(keys.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1"), "component_id").select("__key", "component_id")
+    named = keyed.join(linked, "__key").select("__key", "component_id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key").alias("place"))
+    named = checkpointed(named.distinct())
+    least = named.groupBy("component_id").agg(F.min("place")["__key"].alias("stays"))
+    gone = checkpointed(named.join(least, "component_id").where("__key <> stays").select("__key"))
+    repeated = checkpointed(keys.where("n > 1").join(gone, "__key", "left_anti").select("__key", "size"))
+    several = keyed.join(repeated, "__key").where("size > 0 OR doc_id IS NOT NULL")
+    wordless = keyed.join(repeated.where("size = 0"), "__key", "left_semi").where("doc_id IS NULL").select(docs.columns)
+    one = several.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    once = keyed.join(gone.union(repeated.select("__key")), "__key", "left_anti").select(docs.columns)
+    return once.union(one).union(wordless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

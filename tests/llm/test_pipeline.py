@@ -101,6 +101,21 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
 
 
+def test_one_row_of_each_group_of_copies_stays(spark):
+    text = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(7)]
+    rows = [(1, text[0], "en", "b", 1), (1, text[0], "en", "a", 1), (1, text[0], "en", "b", 1)]  # repeated under one doc_id
+    rows += [(None, text[1], "en", "s", 1)] * 2  # copies without doc_id
+    rows += [(7, text[2], "en", "s", 1), (None, text[2] + " tail", "en", "s", 1), (3, text[2] + " end", "en", "s", 1)]
+    rows += [(8, text[3], "en", "s", 1), (8, text[4], "en", "s", 1), (9, text[4], "en", "s", 1)]  # texts of their own under one doc_id
+    rows += [(None, text[5], "en", "s", 1), (10, text[6], "en", "s", 1)]
+    rows += [(None, None, None, "s", None)] * 2 + [(11, "", "en", "s", 0)] * 2
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    want = [rows[i] for i in (1, 3, 7, 8, 9, 11, 12, 13, 14, 15)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    left = corpus_pipeline.repeated_passages(spark, got, SF)
+    assert sorted((r.text or "" for r in left.collect())) == sorted(r[1] or "" for r in want)
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:

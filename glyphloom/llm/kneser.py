@@ -178,8 +178,9 @@ def _drawn():
 def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(lang, centre, threshold), one row per language with held-out trusted documents: the median of their perplexities, and the quantile of the drawn ones."""
     held = scored.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "scored_chars", "perplexity").join(trusted.where("held_out"), "doc_id").where("perplexity IS NOT NULL")
-    held = checkpointed(held.select("lang", "scored_chars", "perplexity"))  # read twice
-    centres = held.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 100_000).alias("centre"))
+    # Both aggregates read all three columns of one exchange, so that texts are scored once for it.
+    held = held.select("lang", "scored_chars", "perplexity").repartition(partitions(scored.sparkSession), "lang", "scored_chars", "perplexity")
+    centres = held.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 100_000).alias("centre"), F.max("scored_chars").alias("longest")).where("longest > 0").drop("longest")
     return held.join(F.broadcast(centres), "lang").groupBy("lang").agg(F.first("centre").alias("centre"), F.percentile_approx(_drawn(), quantile, 100_000).alias("threshold"))
 
 

@@ -2,13 +2,14 @@
 
 Scan tasks split texts into words and turn stretches of documents into blocks: the words of all its
 documents as numbers, and each distinct word once. The distinct words of the corpus form one table,
-in which every word is encoded once; its ids are joined back to the blocks and stand there by
-position. Decoding joins ids to the pieces of the vocabulary.
+dealt by word, in which every word is encoded once; its ids are joined back to the blocks and put
+there by position. Decoding joins ids to the pieces of the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -23,7 +24,9 @@ from glyphloom.llm.common import give_back, partitions
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: A block ends when its texts reach this many characters; a longer text is a block of its own.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 32 << 20
+#: Parts of the distinct-word table. A block sends and gets at most one row for each, whatever the number of partitions.
+GROUPS = 2048
 #: Words or ids that are put in place at a time.
 STEP = 1 << 18
 
@@ -91,6 +94,7 @@ class Vocabulary:
         self.length = np.array([len(p) for p in pieces], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.width = np.dtype("<u2" if len(pieces) <= 1 << 16 else "<u4")
 
     def words(self, text: str, find: Callable[[str], list[str]]) -> list[str]:
         """The words of a text; special tokens that it holds are words of their own."""
@@ -200,37 +204,74 @@ def blocks(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(split, BLOCK).repartition(partitions(docs.sparkSession), "block")
 
 
-def _listed(row_lengths: bytes, row_words: bytes) -> pa.Array:
-    """The distinct words of a block."""
-    ends = np.concatenate([[0], np.cumsum(_unpacked(row_lengths), dtype=np.int64)]).astype(np.int32)
-    flat = pa.decompress(row_words[8:], int(np.frombuffer(row_words, "<u8", 1)[0]), _CODEC, asbytes=True)
-    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)])
+def _listed(lengths: bytes, words: bytes) -> list[bytes]:
+    """The distinct words of a block, by number."""
+    flat = pa.decompress(words[8:], int(np.frombuffer(words, "<u8", 1)[0]), _CODEC, asbytes=True)
+    n = _unpacked(lengths).astype(np.int64)
+    return [flat[end - k : end] for end, k in zip(np.cumsum(n).tolist(), n.tolist())]
+
+
+def _groups(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words dealt to GROUPS by their bytes: their places in order of groups, the groups in use, and the ends of these."""
+    group = np.fromiter((zlib.crc32(w) % GROUPS for w in words), np.int32, len(words))
+    order = np.argsort(group, kind="stable")
+    used, n = np.unique(group, return_counts=True)
+    return order, used, np.cumsum(n)
+
+
+def _narrow(values: list[int]) -> bytes:
+    """Small numbers as bytes, others as 32-bit numbers: the size tells which, the count being known."""
+    return bytes(values) if max(values, default=0) < 256 else np.array(values, "<u4").tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if len(packed) == n else "<u4").astype(np.int64)
 
 
 def block_words(held: DataFrame) -> DataFrame:
-    """(word, block, place): each distinct word of each block once."""
+    """(grp, block, n, lengths, words): each distinct word of each block once, those of one group as one row, dealt by group."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lengths, words in zip(batch["block"].to_pylist(), batch["lengths"], batch["words"]):
                 listed = _listed(lengths.as_py(), words.as_py())
-                for at in range(0, len(listed), 50_000):
-                    part = listed.slice(at, 50_000)
-                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["word", "block", "place"])
+                order, used, ends = _groups(listed)
+                dealt, at, out = [listed[i] for i in order.tolist()], 0, []
+                for g, end in zip(used.tolist(), ends.tolist()):
+                    own, at = dealt[at:end], end
+                    out.append((g, block, len(own), _narrow([len(w) for w in own]), b"".join(own)))
+                types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)], ["grp", "block", "n", "lengths", "words"])
         give_back()
 
-    return held.mapInArrow(task, "word string, block long, place int")
+    rows = held.mapInArrow(task, "grp int, block long, n int, lengths binary, words binary")
+    return rows.repartition(partitions(held.sparkSession), "grp").sortWithinPartitions("grp")
 
 
 def encoded_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """The distinct-word table: (word, ids), ids as packed little-endian unsigned 32-bit numbers."""
+    """(grp, block, n, counts, ids): the ids of every block's words, in the order in which the words came.
+
+    A group is a part of the distinct-word table, which is in memory while the rows of all blocks pass it:
+    each word is encoded when it comes first.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(path).ids
+        v, now, known = vocabulary(path), None, {}
         for b in batches:
-            ids = [np.array(encode(w), "<u4").tobytes() for w in b["word"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["word"], pa.array(ids, pa.binary())], ["word", "ids"])
+            out = []
+            for g, n, lengths, words in zip(b["grp"].to_pylist(), b["n"].to_pylist(), b["lengths"].to_pylist(), b["words"].to_pylist()):
+                if g != now:
+                    now, known = g, {}
+                ids, at = [], 0
+                for k in _wide(lengths, n).tolist():
+                    w = words[at : at + k]
+                    at += k
+                    if (e := known.get(w)) is None:
+                        e = known[w] = np.array(v.ids(w.decode()), v.width).tobytes()
+                    ids.append(e)
+                out.append((_narrow([len(e) // v.width.itemsize for e in ids]), b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([b["grp"], b["block"], b["n"], *(pa.array(c, pa.binary()) for c in (zip(*out) if out else [(), ()]))], ["grp", "block", "n", "counts", "ids"])
         give_back()
 
-    return words.select("word").distinct().mapInArrow(task, "word string, ids binary")
+    return words.mapInArrow(task, "grp int, block long, n int, counts binary, ids binary")
 
 
 # --- encoding and decoding ----------------------------------------------------------------------
@@ -244,23 +285,22 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     A word that is frequent everywhere is one row of each block, whatever its share of the text.
     """
     held = blocks(docs, path)
-    # The filter is that of the join: with it here, table and join read one exchange.
-    words = block_words(held).where("word IS NOT NULL").repartition(partitions(docs.sparkSession), "word")
-    back = words.join(encoded_words(words, path).hint("merge"), "word").select("block", "place", "ids")
+    back = encoded_words(block_words(held), path)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def assembled(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         if not rows:
             return schema.empty_table()
-        row = rows[0]
-        column = right["ids"].combine_chunks()
-        column = column if isinstance(column, pa.Array) else pa.array([], pa.binary())
-        cut = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4 if len(column) else np.zeros(1, np.int64)
-        flat = np.frombuffer(column.buffers()[2], "<u4", int(cut[-1])) if len(column) and cut[-1] else np.zeros(0, "<u4")
-        place = right["place"].to_numpy()
-        start, length = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        start[place], length[place] = cut[:-1], np.diff(cut)
+        row, v = rows[0], vocabulary(path)
+        order, used, ends = _groups(_listed(row["lengths"], row["words"]))
+        start, length, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), 0
+        where = {g: order[a:b] for g, a, b in zip(used.tolist(), [0, *ends.tolist()], ends.tolist())}
+        for g, n, counts in zip(right["grp"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist()):
+            k = _wide(counts, n)
+            start[where[g]], length[where[g]] = at + np.cumsum(k) - k, k
+            at += int(k.sum())
+        flat = np.frombuffer(b"".join(right["ids"].to_pylist()), v.width).astype("<u4")
         numbers, counts = _unpacked(row["numbers"]), _unpacked(row["counts"]).astype(np.int64)
         n = len(counts)
         ids = pa.array(np.frombuffer(row["docs"], np.int64, n), pa.int64(), mask=np.frombuffer(row["docs"], np.uint8, n, 8 * n) == 0)

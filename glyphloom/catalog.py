@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphloom import adapters as A
 from glyphloom.functions import exprs as X
-from glyphloom.operators import compare, crop, dedup, fit, loops, masks, preprocess, raster, resample, timeline
+from glyphloom.operators import compare, crop, dedup, fit, loops, masks, pivots, preprocess, raster, resample, timeline
 from glyphloom.operators.ordering import cut_lineage
 from glyphloom.operators.similarity import LoopOptions
 from glyphloom.plans import conversion, loop_detection
@@ -436,6 +436,12 @@ def detect_loops_visual(spark, sf):
     return _listing(loop_detection.detect_loops(_glyph_frames(spark, sf), VISUAL))
 
 
+@query
+def pivot_distances(spark, sf):
+    found = pivots.pivot_distances(_glyph_frames(spark, sf), VISUAL)
+    return found.select("clip_id", "frame_idx", "pivot", _digits("distance"))
+
+
 @query
 def canonical_frames(spark, sf):
     return loops.canonical_frames(_event_frames(spark, sf))

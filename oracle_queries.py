@@ -417,6 +417,13 @@ vp AS (SELECT a.clip_id, CAST(b.ix - a.ix AS INT) AS distance, CAST(a.ix AS INT)
 vs AS (SELECT *, coalesce(0.65*text + 0.35*color, 0.0) AS combined FROM vp)"""
 
 
+add("pivot_distances", _gl + """,
+sz AS (SELECT clip_id, count(*) AS n FROM gi GROUP BY ALL),
+pvt AS (SELECT clip_id, CAST(pn AS INT) AS pn, (2*pn + 1)*n // 16 AS ix FROM sz, (SELECT unnest(range(8)) AS pn)),
+pvf AS (SELECT pvt.pn, gx.* FROM pvt JOIN gx ON gx.clip_id = pvt.clip_id AND gx.ix = pvt.ix)
+SELECT a.clip_id, CAST(a.ix AS INT) AS frame_idx, b.pn AS "pivot", round(1.0::DOUBLE - (0.65*(1.0::DOUBLE - count(*) FILTER (a.glyph <> b.glyph)/64.0::DOUBLE)
+    + 0.15*(1.0::DOUBLE - count(*) FILTER ((a.glyph = ' ') <> (b.glyph = ' '))/64.0::DOUBLE) + 0.2*(1.0::DOUBLE - sum(abs(a.rp - b.rp)/9.0::DOUBLE)/64.0::DOUBLE)), 6) AS distance
+FROM gx a JOIN pvf b ON a.clip_id = b.clip_id AND a.k = b.k GROUP BY a.clip_id, a.ix, b.pn""")
 add("frame_similarity", _gl + "," + visual_pairs("b.ix - a.ix IN (3, 5)") + "SELECT clip_id, distance, i, round(combined, 6) AS combined, round(text, 6) AS text, round(color, 6) AS color FROM vs")
 add("best_start", _gl + "," + visual_pairs("b.ix - a.ix >= 3") + """,
 vw AS (SELECT clip_id, distance, i, count(*) OVER w AS n, min(combined) OVER w AS low, avg(combined) OVER w AS combined, avg(text) OVER w AS text, avg(color) OVER w AS color

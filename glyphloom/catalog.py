@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from glyphloom import adapters as A
 from glyphloom.functions import exprs as X
 from glyphloom.operators import compare, crop, dedup, fit, loops, masks, pivots, preprocess, raster, resample, timeline
-from glyphloom.operators.ordering import cut_lineage
+from glyphloom.operators.ordering import cut_lineage, shared_folder
 from glyphloom.operators.similarity import LoopOptions
 from glyphloom.plans import conversion, loop_detection
 from glyphloom.schemas import CELL_KEYS, DEFAULT_RAMP
-from glyphloom.sources import binary, config, text
+from glyphloom.sources import binary, config, segments, text
 
 TINY = A.TINY_RAMP
 PICK = A.picked_cells()
@@ -299,6 +301,29 @@ def unpack_frames(spark, sf):
     return binary.unpack_frames(packs).select("clip_id", F.length("raw").alias("bytes"), F.md5(F.hex("raw").cast("binary")).alias("digest"))
 
 
+def _new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def frame_offsets(spark, sf):
+    return segments.frame_offsets(binary.encode_cell_frames(_dense_cells(spark, sf)))
+
+
+@query
+def segment_manifest(spark, sf):
+    """Segments of one frame each, so that every row of the manifest is known from the sizes."""
+    return segments.segment_manifest(segments.pack_segments(binary.encode_cell_frames(_dense_cells(spark, sf)), segment_bytes=1).drop("body"))
+
+
+@query
+def segment_frames(spark, sf):
+    """Archives written as segments of a few frames, and read again."""
+    path = _new_folder(spark, "segments")
+    segments.write_segments(binary.encode_cell_frames(_dense_cells(spark, sf)), path, segment_bytes=2000)
+    return segments.read_segments(spark, path).select("clip_id", "frame_no", F.md5(F.hex("raw").cast("binary")).alias("digest"), "reject_reason")
+
+
 # ------------------------------------------------------------------ text frames
 @query
 def index_frames(spark, sf):
@@ -439,7 +464,7 @@ def detect_loops_visual(spark, sf):
 @query
 def pivot_distances(spark, sf):
     found = pivots.pivot_distances(_glyph_frames(spark, sf), VISUAL)
-    return found.select("clip_id", "frame_idx", "pivot", _digits("distance"))
+    return found.select("clip_id", "frame_idx", "pivot", _digits("distance", 8))
 
 
 @query

@@ -9,11 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import idiv
+from glyphloom.operators.ordering import spread_out
 from glyphloom.schemas import CELLS_DDL, COLOR_FRAME_GLOB, FLAG_HAS_BACKGROUND, PACK_MAGIC, PACK_VERSION, PIXELS_DDL
+from glyphloom.sources.segments import HEADER_BYTES, archive_header, hinted, part_cuts
 from glyphloom.sources.text import folder_clip, with_frame_no
 
 
@@ -183,34 +184,54 @@ def encode_cell_frames(cells: DataFrame) -> DataFrame:
 PACK_ROW_BYTES = 2**31 - 2**20  # what one BINARY value can hold, with some room
 
 
+PACKED_DDL = "clip_id bigint, part int, blob binary, reject_reason string"
+
+
+def _archives(batches):
+    """Task-side helper: entries of sorted frames -> whole archives, or a reject where one would not fit in a row."""
+    def row(clip, part, held, n):
+        blob, reason = (None, "too_large") if held is None else (b"".join([archive_header(n), *held]), None)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([clip], pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([reason], pa.string())],
+            [c.split()[0] for c in PACKED_DDL.split(", ")])
+
+    key, held, n, size = None, [], 0, 0
+    for batch in batches:
+        for clip, part, raw in zip(batch["clip_id"].to_pylist(), batch["part"].to_pylist(), batch["raw"]):
+            if (clip, part) != key:
+                if key:
+                    yield row(*key, held, n)
+                key, held, n, size = (clip, part), [], 0, HEADER_BYTES
+            raw = raw.as_py()
+            n, size = n + 1, size + len(raw) + 4
+            if size > PACK_ROW_BYTES:
+                held = None
+            if held is not None:
+                held += [len(raw).to_bytes(4, "little"), raw]
+    if key:
+        yield row(*key, held, n)
+
+
 def pack_frames(frames: DataFrame, part_bytes: int | None = None, block: int = 4096) -> DataFrame:
     """All frames of a clip, in order, as archives: clip_id, part, blob, reject_reason.
 
     Rejected frames (null ``raw``) are left out. A clip gives exactly one archive; one
     that no row can hold has a null ``blob`` and the reason ``too_large``. With
     ``part_bytes`` a clip is cut into several complete archives instead, so that no
-    clip has to fit in one row or one task. Where a part ends follows from running
-    byte totals, taken per block of frames and then across blocks.
+    clip has to fit in one row or one task; where a part ends follows from the sizes
+    alone. Payloads are exchanged once, by archive, and each is put together from
+    sorted rows as they come. ``segments`` keeps archives of any size whole.
     """
-    sized = frames.where("raw IS NOT NULL").select(
-        "clip_id", "frame_no", "raw", (F.octet_length("raw") + 4).cast("bigint").alias("size"), idiv(F.col("frame_no"), block).alias("_block"))
-    totals = sized.groupBy("clip_id", "_block").agg(F.sum("size").alias("s"))
-    before = W.partitionBy("clip_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("clip_id", "_block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_start"),
-                           F.sum("s").over(W.partitionBy("clip_id")).alias("_total"))
-    upto = W.partitionBy("clip_id", "_block").orderBy("frame_no").rowsBetween(W.unboundedPreceding, -1)
-    placed = (
-        sized.withColumn("_run", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-        .join(starts, ["clip_id", "_block"])
-        .withColumn("part", idiv(F.col("_start") + F.col("_run"), part_bytes).cast("int") if part_bytes else F.lit(0))
-        .withColumn("_fits", F.lit(True) if part_bytes else F.col("_total") <= PACK_ROW_BYTES)
-    )
-    entry = F.when(F.col("_fits"), F.concat(u32_bytes(F.octet_length("raw")), F.col("raw")))
-    bodies = placed.withColumn("_entry", entry).groupBy("clip_id", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and("_fits").alias("fits"), F.expr("listagg(_entry, X'') within group (order by frame_no)").alias("body"))
-    head = F.concat(F.lit(PACK_MAGIC), u32_bytes(F.lit(PACK_VERSION)), u32_bytes(F.col("n")))
-    return bodies.select("clip_id", "part", F.when(F.col("fits"), F.concat(head, F.col("body"))).alias("blob"),
-                         F.when(~F.col("fits"), F.lit("too_large")).alias("reject_reason"))
+    rows = frames.where("raw IS NOT NULL").select("clip_id", "frame_no", "raw")
+    if part_bytes:
+        cuts = hinted(part_cuts(rows, part_bytes, block))
+        passed = F.filter("cuts", lambda c: c["first"] <= F.col("frame_no"))
+        rows = rows.withColumn("_block", idiv(F.col("frame_no"), block)).join(cuts, ["clip_id", "_block"]).select(
+            "clip_id", F.array_max(F.transform(passed, lambda c: c["part"])).alias("part"), "frame_no", "raw")
+    else:
+        rows = rows.select("clip_id", F.lit(0).alias("part"), "frame_no", "raw")
+    keys = ["clip_id", "part"]
+    return spread_out(rows, *keys).sortWithinPartitions(*keys, "frame_no").mapInArrow(_archives, PACKED_DDL)
 
 
 UNPACKED_DDL = "clip_id bigint, part int, frame_no bigint, raw binary, reject_reason string"

@@ -299,6 +299,12 @@ add("scan_cell_frames", _dense + "SELECT * FROM dc")
 add("pack_frames", _dense + """, u AS (SELECT clip_id, count(*) AS n, string_agg(printf('%02X%02X0000', (length(raw_hex)//2) % 256, (length(raw_hex)//2) // 256) || raw_hex, '' ORDER BY frame_no) AS body FROM en GROUP BY ALL),
 v AS (SELECT clip_id, '4346504B01000000' || printf('%02X%02X0000', n % 256, n // 256) || body AS h FROM u)
 SELECT clip_id, 0 AS part, length(h)//2 AS bytes, md5(h) AS digest FROM v""")
+add("frame_offsets", _dense + """SELECT clip_id, frame_no, CAST(length(raw_hex)//2 AS BIGINT) AS size,
+  CAST(12 + coalesce(sum(4 + length(raw_hex)//2) OVER (PARTITION BY clip_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM en""")
+add("segment_manifest", _dense + """SELECT clip_id, frame_no AS first_frame_no, row_number() OVER w - 1 AS segment, row_number() OVER w AS first_place, CAST(1 AS BIGINT) AS n_frames,
+  CAST(12 + coalesce(sum(4 + length(raw_hex)//2) OVER (PARTITION BY clip_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
+  CAST(4 + length(raw_hex)//2 AS BIGINT) AS bytes FROM en WINDOW w AS (PARTITION BY clip_id ORDER BY frame_no)""")
+add("segment_frames", _dense + "SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no) AS frame_no, md5(raw_hex) AS digest, CAST(NULL AS VARCHAR) AS reject_reason FROM en")
 add("unpack_frames", _dense + "SELECT clip_id, length(raw_hex)//2 AS bytes, md5(raw_hex) AS digest FROM en")
 
 # ---------------------------------------------------------------- text frames
@@ -422,7 +428,7 @@ sz AS (SELECT clip_id, count(*) AS n FROM gi GROUP BY ALL),
 pvt AS (SELECT clip_id, CAST(pn AS INT) AS pn, (2*pn + 1)*n // 16 AS ix FROM sz, (SELECT unnest(range(8)) AS pn)),
 pvf AS (SELECT pvt.pn, gx.* FROM pvt JOIN gx ON gx.clip_id = pvt.clip_id AND gx.ix = pvt.ix)
 SELECT a.clip_id, CAST(a.ix AS INT) AS frame_idx, b.pn AS "pivot", round(1.0::DOUBLE - (0.65*(1.0::DOUBLE - count(*) FILTER (a.glyph <> b.glyph)/64.0::DOUBLE)
-    + 0.15*(1.0::DOUBLE - count(*) FILTER ((a.glyph = ' ') <> (b.glyph = ' '))/64.0::DOUBLE) + 0.2*(1.0::DOUBLE - sum(abs(a.rp - b.rp)/9.0::DOUBLE)/64.0::DOUBLE)), 6) AS distance
+    + 0.15*(1.0::DOUBLE - count(*) FILTER ((a.glyph = ' ') <> (b.glyph = ' '))/64.0::DOUBLE) + 0.2*(1.0::DOUBLE - sum(abs(a.rp - b.rp)/9.0::DOUBLE)/64.0::DOUBLE)), 8) AS distance
 FROM gx a JOIN pvf b ON a.clip_id = b.clip_id AND a.k = b.k GROUP BY a.clip_id, a.ix, b.pn""")
 add("frame_similarity", _gl + "," + visual_pairs("b.ix - a.ix IN (3, 5)") + "SELECT clip_id, distance, i, round(combined, 6) AS combined, round(text, 6) AS text, round(color, 6) AS color FROM vs")
 add("best_start", _gl + "," + visual_pairs("b.ix - a.ix >= 3") + """,

@@ -13,7 +13,7 @@ from glyphloom.operators.ordering import cut_lineage, shared_folder
 from glyphloom.operators.similarity import LoopOptions
 from glyphloom.plans import conversion, loop_detection
 from glyphloom.schemas import CELL_KEYS, DEFAULT_RAMP
-from glyphloom.sources import binary, config, segments, text
+from glyphloom.sources import binary, config, files, segments, text
 
 TINY = A.TINY_RAMP
 PICK = A.picked_cells()
@@ -324,6 +324,31 @@ def segment_frames(spark, sf):
     return segments.read_segments(spark, path).select("clip_id", "frame_no", F.md5(F.hex("raw").cast("binary")).alias("digest"), "reject_reason")
 
 
+@query
+def color_files(spark, sf):
+    """Frames written as files and read again: a few clips, and of these the first frames; the names of files decide which are opened."""
+    path = _new_folder(spark, "color")
+    files.write_frame_files(binary.encode_cell_frames(_dense_cells(spark, sf)), path, "color")
+    found = files.read_frame_files(spark, path, "color").where("clip_id IN (1, 2, 3, 5, 8) AND frame_no < 900")
+    return found.select("clip_id", "frame_no", "bytes", "width", "height", F.md5(F.hex("raw").cast("binary")).alias("digest"))
+
+
+@query
+def color_file_headers(spark, sf):
+    """Sizes of all frames, from eight bytes of each file."""
+    path = _new_folder(spark, "color")
+    files.write_frame_files(binary.encode_cell_frames(_dense_cells(spark, sf)), path, "color")
+    return files.read_frame_files(spark, path, "color", ["clip_id", "frame_no", "bytes", "width", "height"])
+
+
+@query
+def text_files(spark, sf):
+    path = _new_folder(spark, "text")
+    files.write_frame_files(text.assemble_text(_dense_cells(spark, sf)), path, "text")
+    found = files.read_frame_files(spark, path, "text").where("clip_id <> 4")
+    return found.select("clip_id", "frame_no", "bytes", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # ------------------------------------------------------------------ text frames
 @query
 def index_frames(spark, sf):

@@ -305,6 +305,11 @@ add("segment_manifest", _dense + """SELECT clip_id, frame_no AS first_frame_no,
   CAST(12 + coalesce(sum(4 + length(raw_hex)//2) OVER (PARTITION BY clip_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
   CAST(4 + length(raw_hex)//2 AS BIGINT) AS bytes FROM en WINDOW w AS (PARTITION BY clip_id ORDER BY frame_no)""")
 add("segment_frames", _dense + "SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_no) AS frame_no, md5(raw_hex) AS digest, CAST(NULL AS VARCHAR) AS reject_reason FROM en")
+add("color_files", _dense + """SELECT clip_id, frame_no, CAST(length(raw_hex)//2 AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, md5(raw_hex) AS digest
+FROM en WHERE clip_id IN (1, 2, 3, 5, 8) AND frame_no < 900""")
+add("color_file_headers", _dense + "SELECT clip_id, frame_no, CAST(length(raw_hex)//2 AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height FROM en")
+add("text_files", _dense + """, ln AS (SELECT clip_id, frame_no, row, string_agg(glyph, '' ORDER BY col) || chr(10) AS line FROM dc GROUP BY ALL)
+SELECT clip_id, frame_no, CAST(sum(length(line)) AS BIGINT) AS bytes, md5(string_agg(line, '' ORDER BY row)) AS digest FROM ln WHERE clip_id <> 4 GROUP BY clip_id, frame_no""")
 add("unpack_frames", _dense + "SELECT clip_id, length(raw_hex)//2 AS bytes, md5(raw_hex) AS digest FROM en")
 
 # ---------------------------------------------------------------- text frames

@@ -165,6 +165,24 @@ def rasterise_cells(spark, sf):
     return raster.rasterise_cells(cells, A.tiny_atlas(spark), 4, 4)
 
 
+def _two_rasters(spark, sf):
+    """Runs of two luminance thresholds; the second one lacks some frames."""
+    cells = A.lineitem_cells(spark, sf)
+    low, high = (cells.withColumn("glyph", X.glyph_for_luma(X.luminance(*fore()), t, TINY)) for t in (40, 130))
+    atlas = A.tiny_atlas(spark)
+    return raster.rasterise_cells(low, atlas, 4, 4), raster.rasterise_cells(high.filter("frame_no % 11 <> 3"), atlas, 4, 4)
+
+
+@query
+def diff_pixels(spark, sf):
+    return compare.diff_pixels(*_two_rasters(spark, sf)).filter("NOT same")
+
+
+@query
+def diff_images(spark, sf):
+    return compare.diff_images(*_two_rasters(spark, sf))
+
+
 def _pixels(spark, sf):
     return A.embedding_pixels(spark, sf).drop("width", "height")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import let, text_lines
-from glyphloom.schemas import CELL_KEYS, FRAME_KEYS
+from glyphloom.schemas import CELL_KEYS, FRAME_KEYS, PIXEL_KEYS
 
 
 def compare_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -45,6 +45,24 @@ def diff_frames(left: DataFrame, right: DataFrame) -> DataFrame:
         F.max(F.greatest(*parts)).alias("max_difference"), F.sum(sum(parts[1:], parts[0])).alias("total_difference"))
 
 
+def diff_pixels(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The difference image of two runs: absolute channel differences per pixel (null where one run has no such
+    pixel) and whether both are equal. A pixel is one row of each run; the runs meet in one exchange, without a sort."""
+    sides = [run.select(*PIXEL_KEYS, *[(F.col(c) if side == mine else F.lit(None)).cast("int").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
+             for mine, run in (("l", left), ("r", right))]
+    met = sides[0].unionByName(sides[1]).groupBy(PIXEL_KEYS).agg(*[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
+    apart = [F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")).alias(c) for c in "rgb"]
+    return met.select(*PIXEL_KEYS, *apart, F.coalesce(sum(apart[1:], apart[0]) == 0, F.lit(False)).alias("same"))
+
+
+def diff_images(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per frame of two rasterised runs: identical?, differing pixels, largest and total channel difference."""
+    parts = [F.coalesce(F.col(c), F.lit(0)) for c in "rgb"]
+    return diff_pixels(left, right).groupBy(FRAME_KEYS).agg(
+        F.bool_and("same").alias("identical"), F.count_if(~F.col("same")).alias("pixels_different"),
+        F.max(F.greatest(*parts)).alias("max_difference"), F.sum(sum(parts[1:], parts[0])).alias("total_difference"))
+
+
 def frame_source_choice(files: DataFrame, use_colors: bool | None = None) -> DataFrame:
     """Per clip: render from colour frames if there are any, else from text; colours
     follow the source unless overridden. ``files``: clip_id, kind ("text" or "color")."""

@@ -180,6 +180,22 @@ add("rasterise_cells", with_(CELLS, ATLAS, f"g AS (SELECT * EXCLUDE (glyph), {gl
     "j AS (SELECT g.*, py, px, CAST(round(alpha*255.0) AS INT) AS a FROM g JOIN atl USING (glyph))") + """
 SELECT clip_id, frame_no, row*4 + py AS y, col*4 + px AS x,
   (coalesce(br,0)*(255-a) + fr*a + 127)//255 AS r, (coalesce(bg,0)*(255-a) + fg*a + 127)//255 AS g, (coalesce(bb,0)*(255-a) + fb*a + 127)//255 AS b FROM j""")
+
+
+def _rastered(name, threshold, kept="true"):
+    return f"""{name}g AS (SELECT * EXCLUDE (glyph), {glyph(luma(), threshold, TINY)} AS glyph FROM c WHERE {kept}),
+{name} AS (SELECT clip_id, frame_no, row*4 + py AS y, col*4 + px AS x, (coalesce(br,0)*(255-a) + fr*a + 127)//255 AS r, (coalesce(bg,0)*(255-a) + fg*a + 127)//255 AS g,
+  (coalesce(bb,0)*(255-a) + fb*a + 127)//255 AS b FROM (SELECT h.*, py, px, CAST(round(alpha*255.0) AS INT) AS a FROM {name}g h JOIN atl USING (glyph)) q)"""
+
+
+_two = with_(CELLS, ATLAS, _rastered("ra", 40), _rastered("rb", 130, "frame_no % 11 <> 3"), """
+dp AS (SELECT ra.clip_id, ra.frame_no, ra.y, ra.x, abs(ra.r - rb.r) AS r, abs(ra.g - rb.g) AS g, abs(ra.b - rb.b) AS b,
+  coalesce(ra.r = rb.r AND ra.g = rb.g AND ra.b = rb.b, false) AS same FROM ra LEFT JOIN rb USING (clip_id, frame_no, y, x))""")
+add("diff_pixels", _two + "SELECT * FROM dp WHERE NOT same")
+add("diff_images", _two + """SELECT clip_id, frame_no, bool_and(same) AS identical, count(*) FILTER (NOT same) AS pixels_different,
+  max(greatest(coalesce(r, 0), coalesce(g, 0), coalesce(b, 0))) AS max_difference, CAST(sum(coalesce(r, 0) + coalesce(g, 0) + coalesce(b, 0)) AS BIGINT) AS total_difference
+FROM dp GROUP BY clip_id, frame_no""")
+
 PK = "clip_id, frame_no, y, x"
 
 

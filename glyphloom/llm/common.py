@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,6 +22,8 @@ CHUNK_BYTES = 1 << 19
 
 #: Blocks per shuffle partition: a Python worker holds one block at a time.
 BLOCKS = 2
+#: Bytes of text of a block where blocks follow from the input instead.
+BLOCK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,13 +105,64 @@ def packed_blocks(docs: DataFrame, id_col: str, columns: list[str], blocks: int)
     return frame.mapInArrow(pack, "block int, payload binary").repartition(partitions(docs.sparkSession), "block")
 
 
+def block_count(docs: DataFrame, column: str = "text") -> int:
+    """Blocks of BLOCK_BYTES that the texts fill: they follow the input, whatever the number of shuffle partitions."""
+    return max(1, -(-(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0) // BLOCK_BYTES))
+
+
+def scan_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Stretches of each scan task as blocks, one compressed row each: (block long, payload binary), dealt by block.
+
+    A block ends at BLOCK_BYTES; no key deals rows, so that ids or texts that repeat in any share of the rows
+    make no block larger.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+
+        def row():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                rest = batch.slice(at)
+                # The rows that still fit, but at least one.
+                sizes = np.cumsum(pa.compute.binary_length(rest["text"]).fill_null(0).to_numpy())
+                n = max(1, int(np.searchsorted(sizes, BLOCK_BYTES - size, "right")))
+                n = min(n, rest.num_rows)
+                held.append(rest.slice(0, n))
+                size += int(sizes[n - 1])
+                at += n
+                if size >= BLOCK_BYTES or at < batch.num_rows:
+                    yield row()
+                    k, held, size = k + 1, [], 0
+                    give_back()
+        if held:
+            yield row()
+        del held
+        give_back()
+
+    return docs.select(*columns).mapInArrow(pack, "block long, payload binary").repartition(partitions(docs.sparkSession), "block")
+
+
 def unpack(payloads: pa.ChunkedArray | pa.Array) -> pa.Table | None:
     """The rows of one block, in the order of their columns' values (the same in every pass)."""
     tables = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in payloads]
     if not tables:
         return None
     t = pa.concat_tables(tables).combine_chunks()
-    return t.sort_by([(c, "ascending") for c in t.column_names])
+    return t.sort_by([(f.name, "ascending") for f in t.schema if not pa.types.is_nested(f.type)])
+
+
+def unpacked_block(payload: pa.Scalar) -> pa.Table:
+    """The rows of one block of ``scan_blocks``, in their order."""
+    return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
 
 
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -228,19 +282,19 @@ def words(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.
 
 # --- keys of blocks, counted over the corpus ----------------------------------------------------
 
-def bucket_rows(block: int, buckets: int, key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def bucket_rows(block: int, buckets: int, key: np.ndarray, *columns: np.ndarray, wide: bool = False) -> pa.RecordBatch:
     """Rows (bucket, block, key, c0, c1, ...) of packed arrays: a block's sorted keys, dealt by hash bits."""
     which = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(which, kind="stable")
     names, at = np.unique(which[order], return_index=True)
     cut = [order[i:j] for i, j in zip(at, [*at[1:], len(order)])]
     return pa.RecordBatch.from_arrays(
-        [pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int32)), *(pa.array([c[i].tobytes() for i in cut], pa.binary()) for c in (key, *columns))],
+        [pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int64 if wide else np.int32)), *(pa.array([c[i].tobytes() for i in cut], pa.binary()) for c in (key, *columns))],
         ["bucket", "block", "key", *(f"c{i}" for i in range(len(columns)))])
 
 
-def bucket_schema(columns: int) -> str:
-    return "bucket int, block int, key binary" + "".join(f", c{i} binary" for i in range(columns))
+def bucket_schema(columns: int, block: str = "int") -> str:
+    return f"bucket int, block {block}, key binary" + "".join(f", c{i} binary" for i in range(columns))
 
 
 KEY_BITS = 48
@@ -282,12 +336,12 @@ def back_rows(blocks: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> Iter
     cut = [order[i:j] for i, j in zip(at, [*at[1:], len(order)])]
     if len(names):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.astype(np.int32)), *(pa.array([c[i].tobytes() for i in cut], pa.binary()) for c in (key, *columns))],
+            [pa.array(names), *(pa.array([c[i].tobytes() for i in cut], pa.binary()) for c in (key, *columns))],
             ["block", "key", *(f"c{i}" for i in range(len(columns)))])
 
 
-def back_schema(columns: int) -> str:
-    return "block int, key binary" + "".join(f", c{i} binary" for i in range(columns))
+def back_schema(columns: int, block: str = "int") -> str:
+    return f"block {block}, key binary" + "".join(f", c{i} binary" for i in range(columns))
 
 
 def found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

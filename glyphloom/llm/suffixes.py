@@ -12,7 +12,9 @@ the same span are a run. The passes, each a count of 64-bit digits over the corp
 
 Equal windows have equal spans, so the groups of equal digits left at the end are exactly the
 repeated windows. What a text loses is the union of its repeated windows. Digits are counted per block first, then per
-bucket of their hash; a passage found in any share of the texts reaches its bucket once per block.
+bucket of their hash; a passage found in any share of the texts reaches its bucket once per block. Blocks are
+stretches of the scan, bounded by bytes, and there are as many buckets as the input fills, up to the
+shuffle partitions.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glyphloom.llm.common import (BLOCKS, Substrings, back_rows, back_schema, bucket_rows, bucket_schema, byte_values, chunks, cogrouped, found, grouped, joined,
-                                  owners, packed_blocks, partitions, texts_of, unpack, whole_blocks, words)
+from glyphloom.llm.common import (Substrings, back_rows, back_schema, block_count, bucket_rows, bucket_schema, byte_values, chunks, cogrouped, found, grouped, joined,
+                                  owners, partitions, scan_blocks, texts_of, unpacked_block, words)
 
 _PLACE = 28  # bits of a place in a chunk; the others order the grams
 _SETTLED, _LISTED, _WINDOW = 1, 2, 4
@@ -95,9 +97,11 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
     equal or null doc_ids are texts of their own. Returns doc_id, the columns of `carry`, n_bytes,
     n_removed, n_spans, spans (array of start and end bytes) and kept (binary).
     """
-    n = partitions(docs.sparkSession)
     columns = ["doc_id", "text", *carry]
-    blocks = packed_blocks(docs, "doc_id", columns, BLOCKS * n)
+    # Buckets follow the input too: a block sends at most one row to each, and no bucket is larger than a block.
+    n = min(partitions(docs.sparkSession), block_count(docs))
+    blocks = scan_blocks(docs, columns)
+    digits, answers = bucket_schema(2, "long"), back_schema(1, "long")
 
     def runs_of(t: pa.Table):
         for first, data, starts in chunks(texts_of(t)):
@@ -105,12 +109,12 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
             yield first, data, starts, begin, end, _Runs(values, at, length)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, t in whole_blocks(batches):
-            every = [(r.extent, r.span) for *_, r in runs_of(t)]
+        for block, payload in ((b, p) for batch in batches for b, p in zip(batch["block"].to_pylist(), batch["payload"])):
+            every = [(r.extent, r.span) for *_, r in runs_of(unpacked_block(payload))]
             extent, span = (np.concatenate(x) for x in zip(*every)) if every else (np.zeros(0, np.uint64),) * 2
             extent, at, count = np.unique(extent, return_index=True, return_counts=True)
             if len(extent):
-                yield bucket_rows(block, n, span[at], extent, count.astype("<u4"))
+                yield bucket_rows(block, n, span[at], extent, count.astype("<u4"), wide=True)
 
     def extents(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         block, span, extent, count = owners(t), joined(t["key"], np.uint64), joined(t["c0"], np.uint64), joined(t["c1"], "<u4").astype(np.int64)
@@ -141,7 +145,7 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
         if not left.num_rows or not len(known):
             return
         digit, span, done = [], [], np.zeros(len(known), bool)
-        for *_, r in runs_of(unpack(left["payload"].combine_chunks())):
+        for *_, r in runs_of(unpacked_block(left["payload"][0])):
             at, there = found(known, r.extent)
             runs = np.flatnonzero(there)
             at, once = np.unique(at[runs], return_index=True)
@@ -153,7 +157,7 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
                 span.append(s)
         if digit:
             both = np.unique(np.stack([np.concatenate(digit), np.concatenate(span)]), axis=1, return_counts=True)
-            yield bucket_rows(left["block"][0].as_py(), n, both[0][0], both[0][1], both[1].astype("<u4"))
+            yield bucket_rows(left["block"][0].as_py(), n, both[0][0], both[0][1], both[1].astype("<u4"), wide=True)
 
     def repeated(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         block, digit, span, count = owners(t), joined(t["key"], np.uint64), joined(t["c0"], np.uint64), joined(t["c1"], "<u4").astype(np.int64)
@@ -174,7 +178,7 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
         windows_known, _ = flags_of(right, _WINDOW)
         settled_known = runs_known[(runs_flag & _SETTLED) > 0]
         open_known = runs_known[runs_flag == _LISTED]
-        t = unpack(left["payload"].combine_chunks())
+        t = unpacked_block(left["payload"][0])
         for first, data, starts, begin, end, r in runs_of(t):
             _, settled = found(settled_known, r.extent)
             lo, hi = r.lo[settled], r.hi[settled] + length
@@ -205,7 +209,7 @@ def repeated_passages(docs: DataFrame, length: int = 400, unit: str = "bytes", c
             out += [pa.array(np.diff(starts), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(np.diff(of_head), pa.int64()), pa.array(spans_out, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], names)
 
-    back = blocks.mapInArrow(spans, bucket_schema(2)).groupBy("bucket").applyInArrow(grouped(extents, back_schema(1)), back_schema(1))
-    listed = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(cogrouped(windows, bucket_schema(2)), bucket_schema(2))
-    edges = listed.groupBy("bucket").applyInArrow(grouped(repeated, back_schema(1)), back_schema(1))
+    back = blocks.mapInArrow(spans, digits).groupBy("bucket").applyInArrow(grouped(extents, answers), answers)
+    listed = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(cogrouped(windows, digits), digits)
+    edges = listed.groupBy("bucket").applyInArrow(grouped(repeated, answers), answers)
     return blocks.groupBy("block").cogroup(back.union(edges).groupBy("block")).applyInArrow(cogrouped(cut, out_schema), out_schema)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,16 @@ def test_empty_and_extra_columns(spark):
     rows = repeated_passages(df, carry=("block",)).select("doc_id", "block", "n_removed", F.sha2("kept", 256).alias("h")).collect()
     assert sorted((r.doc_id is None, r.block or "", r.n_removed) for r in rows) == [(False, "", 0), (True, "p", 500), (True, "q", 500)]
     assert {r.h for r in rows} == {hashlib.sha256(b"ok").hexdigest(), hashlib.sha256(b"").hexdigest()}
+
+
+def test_blocks_are_bounded_whatever_repeats(spark, monkeypatch):
+    from glyphloom.llm import common
+
+    monkeypatch.setattr(common, "BLOCK_BYTES", 1000)
+    rows = [(None, "same text " * 30, "b", 1)] * 40 + [(5, None, "b", 1), (5, "", "b", 1), (6, "long " * 900, "b", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    held = [common.unpacked_block(pa.scalar(bytes(r.payload), pa.binary())) for r in common.scan_blocks(df, ["doc_id", "text", "kept"]).collect()]
+    assert sum(t.num_rows for t in held) == len(rows) and len(held) >= 12
+    assert all(t.num_rows == 1 or sum(len(x or "") for x in t["text"].to_pylist()) <= 1000 for t in held)
+    assert common.block_count(df) == -(-(300 * 40 + 4500) // 1000)
+    assert common.block_count(df.limit(0)) == 1

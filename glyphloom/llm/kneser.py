@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import BLOCKS, checkpointed, cogrouped, packed_blocks, partitions, unpack
+from glyphloom.llm.common import block_count, checkpointed, cogrouped, packed_blocks, partitions, unpack
 
 ORDER = 4
 #: Bits of a character; those beyond are one character.
@@ -134,7 +134,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()
     fold. Perplexity is per character over the whole text; null for null or empty text and for a
     language without training text. Null lang is a language of its own ("und").
     """
-    n = BLOCKS * partitions(docs.sparkSession)
+    n = block_count(docs)
     columns = list(dict.fromkeys(["doc_id", "text", "lang", *carry]))
     blocks = packed_blocks(docs, "doc_id", columns, n)
     trusted = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0")

@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -122,3 +124,24 @@ def test_empty_documents(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+CLASHES = ["component_id", "size", "n", "__key", "place", "keep", "block", "kept", "spans", "base", "row", "a.b"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_extra_columns_of_any_name_and_type(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).unionByName(spark.createDataFrame([(1, None, None, None, None)], SCHEMA))
+    plain = docs
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs = docs.withColumn("by_name", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("listed", F.array("doc_id", F.lit(None))).withColumn("held", F.struct("doc_id"))
+    out = stage(spark, docs, SF)
+    if "sequence_id" in out.columns:
+        assert sorted(r[:5] for r in out.collect()) == sorted(r[:5] for r in stage(spark, plain, SF).collect())
+        return
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    got = out.collect()
+    assert got and sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((r["doc_id"], r["text"] or "") for r in stage(spark, plain, SF).collect())
+    assert all(r[c] == f"{c} of {r['doc_id']}" for r in got for c in CLASHES)
+    assert all(r["by_name"] == {"k": r["doc_id"]} and r["listed"] == [r["doc_id"], None] and r["held"][0] == r["doc_id"] for r in got)

@@ -44,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows of equal doc_id and text are one document, and the least of them by all columns stays. Texts without words are not linked:
     those without doc_id all stay.
     """
+    held, names = _carried(docs, ("doc_id", "text"))
     # A key from the row's content: it is the same wherever the row is read again.
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    keyed = held.withColumn("__key", F.xxhash64("doc_id", "text"))
     found = jaccard.near_components(keyed.select(F.col("__key").alias("doc_id"), "text"), size=5, num=80, den=100)
     keys = checkpointed(found.groupBy(F.col("doc_id").alias("__key"), "component_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")))
     linked = keys.join(keys.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1"), "component_id").select("__key", "component_id")
@@ -55,10 +56,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = checkpointed(named.join(least, "component_id").where("__key <> stays").select("__key"))
     repeated = checkpointed(keys.where("n > 1").join(gone, "__key", "left_anti").select("__key", "size"))
     several = keyed.join(repeated, "__key").where("size > 0 OR doc_id IS NOT NULL")
-    wordless = keyed.join(repeated.where("size = 0"), "__key", "left_semi").where("doc_id IS NULL").select(docs.columns)
-    one = several.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    once = keyed.join(gone.union(repeated.select("__key")), "__key", "left_anti").select(docs.columns)
-    return once.union(one).union(wordless)
+    wordless = keyed.join(repeated.where("size = 0"), "__key", "left_semi").where("doc_id IS NULL").select(held.columns)
+    # Rows of equal doc_id and text: the least by all columns, written out, as not every type has an order.
+    whole = F.struct(*held.columns)
+    one = several.groupBy("__key").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    once = keyed.join(gone.union(repeated.select("__key")), "__key", "left_anti").select(held.columns)
+    kept = once.union(one).union(wordless)
+    return kept.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +74,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in angle brackets."""
-    return _returned(personal.redact(docs, personal.fit(docs)), docs, {})
+    held, names = _carried(docs, ("doc_id", "text"))
+    return _returned(personal.redact(held, personal.fit(held)), docs, names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,37 @@ def test_neighbours_on_a_large_host_are_those_of_a_sorted_host(spark):
             near = [o for o in (before, after) if o]
             other = max(near, key=lambda o: len(commonprefix([o[0], path])))[2] if near else []
             assert got[i] == "\n".join(x for x in lines if x not in other), (i, path)
+
+
+def test_names_that_only_contain_a_word_of_surroundings_lose_no_article(spark):
+    text = "<p>Own words {}</p>"
+    bodies = [
+        f'<div class="layout no-sidebar"><article>{text}</article></div>', f'<form action=/><input name=a><article>{text}</article></form>',
+        f'<article class="post"><div class="entry has-share-buttons">{text}</div></article>', f'<article><div class="promotion-law">{text}</div></article>',
+        f'<div class="sidebar"><main>{text}</main></div>', f'<form><h1>Title</h1>{text}<button>Go</button></form>', f'<div id="comments-page">{text}</div>'.replace("comments-page", "no-comments"),
+        f'<div id="comments"><article>Other</article></div><article>{text}</article>', f'<article>{text}<div class="share-buttons">Share</div><form><input>Mail</form><aside>Side</aside></article>',
+    ]
+    rows = [(i, f"http://h{i}.org/a", page(b.format(i))) for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("Title\n" if i == 5 else "") + f"Own words {i}" for i in range(len(bodies))}
+
+
+def test_the_nearest_page_decides_on_lines_of_articles(spark):
+    """A shared line goes from doubtful blocks, and where the other page has it outside its article; shared text stays."""
+    article = '<article><p>Text {0}</p><p>A heading of both</p><div class="entry has-share-buttons"><p>Send it on</p><p>Own {0}</p></div>{1}</article>{2}'
+    rows = [
+        (1, "http://a.org/x/1", page(article.format(1, "<p>House rules apply</p>", ""))),
+        (2, "http://a.org/x/2", page(article.format(2, "", "<div>House rules apply</div>"))),
+    ]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i}\nA heading of both\nOwn {i}" for i in (1, 2)}
+
+
+def test_alignment_of_long_pages_in_parts(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr("glyphloom.llm.pages.ALIGN_BITS", 60)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        shared = shared_lines(a, b)
+        assert len(shared) == lcs(a, b) and all(a[i] == b[j] for i, j in shared.items())
+        assert [j for _, j in sorted(shared.items())] == sorted(shared.values())

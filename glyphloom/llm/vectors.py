@@ -9,29 +9,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import checkpointed, cogrouped, components, grouped
+from glyphloom.llm.common import checkpointed, cogrouped, components, grouped, partitions
 
 #: Vectors that the trees' upper splits are fitted on, at most.
 FIT_ROWS = 20_000
-#: Trees; rows of a leaf aimed at; spill on either side of a split, in standard deviations; rows that one task compares.
+#: Fewest trees; rows of a leaf aimed at; spill on either side of a split, in standard deviations; rows that one task compares.
 TREES, LEAF, SPILL, CELL = 10, 128, 0.1, 2000
+#: Share of pairs at cosine 0.9 that one split keeps together (with SPILL, as measured), and the share of them that all trees may miss.
+TOGETHER, MISSED = 0.92, 0.005
 #: Fewest sample rows behind a fitted split.
 SPLIT_ROWS = 24
-#: Rows and queries of a search cell; width of the error bound in its own units.
-ROWS, QUERIES, WIDTH = 8192, 2048, 1.9
+#: Rows and queries of a search cell at most, rows of one at least; width of the error bound in its own units.
+ROWS, QUERIES, FEWEST, WIDTH = 32768, 16384, 2048, 1.9
 
 
 def usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, v array<double>) of the rows with an id whose vector can be compared: not null, not zero, all components finite.
 
-    All compared vectors have one dimension, the most frequent (ties: the smaller); others are left out. Equal rows count once.
+    Vectors of several dimensions may be among them; only those of one dimension are comparable. Equal rows count once.
     """
     v = F.col(vector).cast("array<double>")
     fine = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    fine = fine.where(F.col("v").isNotNull() & finite).distinct()
-    size = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return fine.where(F.size("v") == (size[0]["d"] if size else 0))
+    return fine.where(F.col("v").isNotNull() & finite).distinct()
+
+
+def _by_dimension(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch with vectors `v` of one dimension, and these as a matrix."""
+    size = b["v"].value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(size):
+        part = b if (size == d).all() else b.take(pa.array(np.flatnonzero(size == d)))
+        yield part, _matrix(part["v"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -80,6 +88,12 @@ class Tree:
             stack.append((2 * node + 1, rows[side > at - SPILL * spread], level + 1, mean))
 
 
+def trees_for(depth: int) -> int:
+    """Trees of `depth` splits that together miss at most MISSED of the pairs at cosine 0.9: each keeps TOGETHER**depth of them."""
+    alone = TOGETHER**depth
+    return TREES if alone > 0.9 else max(TREES, int(np.ceil(np.log(MISSED) / np.log1p(-alone))))
+
+
 def _settle(near: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each, by a symmetric boolean matrix."""
     label = np.arange(len(near))
@@ -91,10 +105,11 @@ def _settle(near: np.ndarray) -> np.ndarray:
         label = least
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", least: float = 0.9, trees: int = TREES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", least: float = 0.9, trees: int | None = None) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row: links are pairs with cosine >= least that share a leaf of some tree.
 
-    Equal vectors are one point with a multiplicity. Points are compared within leaves only, in double
+    Equal vectors are one point with a multiplicity. There are as many trees as their depth asks for (see trees_for); vectors
+    are compared with those of their own dimension, and only the most frequent dimension has splits fitted on a sample. Points are compared within leaves only, in double
     precision; a pair counts at the first leaf it shares, so counts need no list of pairs, and a task
     emits a row per point. Leaves over CELL points are compared as pairs of chunks. Rows that cannot
     be compared (see usable) have no links and are their own component; without id that is null and
@@ -103,37 +118,39 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     points = checkpointed(usable(vectors, id_col, vector).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")))
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
-    sample = points.select("rep", "v").orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("v").toArrow()["v"]
+    trees = trees or trees_for(depth)
+    usual = points.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    usual = usual[0]["d"] if usual else 1
+    sample = points.where(F.size("v") == usual).select("rep", "v").orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("v").toArrow()["v"]
     sample = _matrix(sample)
     sample = sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample.reshape(0, 1)
     forest = [Tree(k, sample, depth) for k in range(trees)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b["v"])
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            rows, codes = [], []
-            for k, t in enumerate(forest):
-                for leaf, r in t.leaves(x):
-                    rows.append(r)
-                    codes.append(np.full(len(r), k << 56 | leaf))
-            rows, codes = np.concatenate(rows), np.concatenate(codes)
-            order = np.lexsort((codes, rows))
-            ends = np.searchsorted(rows[order], np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b["rep"], b["mult"], b["v"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes[order]))], ["rep", "mult", "v", "codes"])
-
-    placed = checkpointed(points.select("rep", "mult", "v").mapInArrow(place, "rep long, mult long, v array<double>, codes array<long>"))
-    member = placed.select("rep", F.explode("codes").alias("code"))
-    chunked = member.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
+        for whole in batches:
+            for b, x in _by_dimension(whole):
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                rows, codes = [], []
+                for k, t in enumerate(forest if x.shape[1] == usual else [Tree(k, np.zeros((0, x.shape[1])), depth) for k in range(trees)]):
+                    for leaf, r in t.leaves(x):
+                        rows.append(r)
+                        codes.append(np.full(len(r), k << 56 | leaf))
+                rows, codes = np.concatenate(rows), np.concatenate(codes)
+                order = np.lexsort((codes, rows))
+                ends = np.searchsorted(rows[order], np.arange(b.num_rows + 1))
+                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes[order]))
+                yield pa.RecordBatch.from_arrays([b["rep"], b["mult"], b["v"], held, pa.array(np.full(b.num_rows, x.shape[1], np.int32))], ["rep", "mult", "v", "codes", "d"])
+
+    placed = checkpointed(points.select("rep", "mult", "v").mapInArrow(place, "rep long, mult long, v array<double>, codes array<long>, d int"))
+    member = placed.select("rep", "d", F.explode("codes").alias("code"))
+    chunked = member.groupBy("code", "d").agg(F.count("*").alias("n")).where("n > 1").select("code", "d", F.ceil(F.col("n") / CELL).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("rep"), "chunks").cast("int")
-    cells = member.join(chunked, "code").select("code", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    cells = cells.select("code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep").join(placed, "rep")
+    cells = member.join(chunked, ["code", "d"]).select("code", "d", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    cells = cells.select("code", "d", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep").join(placed.drop("d"), "rep")
     schema = "rep long, n long, link long"
 
     def compare(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        code, i, j = (k.as_py() for k in key)
+        code, _, i, j = (k.as_py() for k in key)
         rep = t["rep"].to_numpy()
         order = np.argsort(rep)
         t, rep = t.take(pa.array(order)), rep[order]
@@ -157,7 +174,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         keep = (count > 0) | (label != np.arange(len(rep)))
         yield pa.RecordBatch.from_arrays([pa.array(rep[keep]), pa.array(count[keep]), pa.array(rep[label[keep]])], ["rep", "n", "link"])
 
-    found = checkpointed(cells.groupBy("code", "i", "j").applyInArrow(grouped(compare, schema), schema))
+    found = checkpointed(cells.groupBy("code", "d", "i", "j").applyInArrow(grouped(compare, schema), schema))
     linked = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("link").alias("b")))
     classes = points.join(linked, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -176,14 +193,12 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
 def encode(vectors: DataFrame) -> DataFrame:
     """(id, v, code binary, norm, agree): sign bits of the rotated vector, its length, and its cosine with its own code."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b["v"])
-            norm = np.linalg.norm(x, axis=1)
-            y = (x / norm[:, None]) @ rotation(x.shape[1]).T
-            bits = np.packbits(y > 0, axis=1)
-            yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(norm), pa.array(np.abs(y).sum(1) / np.sqrt(x.shape[1]))], ["id", "v", "code", "norm", "agree"])
+        for whole in batches:
+            for b, x in _by_dimension(whole):
+                norm = np.linalg.norm(x, axis=1)
+                y = (x / norm[:, None]) @ rotation(x.shape[1]).T
+                bits = np.packbits(y > 0, axis=1)
+                yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(norm), pa.array(np.abs(y).sum(1) / np.sqrt(x.shape[1]))], ["id", "v", "code", "norm", "agree"])
 
     return vectors.select("id", "v").mapInArrow(task, "id long, v array<double>, code binary, norm double, agree double")
 
@@ -191,17 +206,20 @@ def encode(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products over all other rows, ties to the smaller id.
 
-    is_query is a condition on `id`. Rows and queries meet in cells of bounded size. A cell estimates all
+    is_query is a condition on `id`; candidates are the rows of a query's own dimension. Rows and queries meet in cells of bounded size,
+    large ones, since every row is sent once for each block of queries and every query once for each block of rows. A cell estimates all
     products from one-bit codes, reranks the best estimates, and then every vector whose error bound
     reaches the k-th exact product so far. Rows that cannot be compared (see usable) take no part; of rows
     with one id the smallest vector counts.
     """
     coded = checkpointed(encode(usable(vectors, id_col, vector).groupBy("id").agg(F.min("v").alias("v"))))
     total, asked = coded.count(), coded.where(is_query).count()
-    row_blocks, query_blocks = max(1, -(-total // ROWS)), max(1, -(-asked // QUERIES))
+    row_blocks = max(1, -(-total // ROWS), min(partitions(vectors.sparkSession), -(-total // FEWEST)))
+    query_blocks = max(1, -(-asked // QUERIES))
     h = F.xxhash64("id", F.lit(3))
+    coded = coded.withColumn("d", F.size("v"))
     rows = coded.select("*", F.pmod(h, F.lit(row_blocks)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("j"))
-    queries = coded.where(is_query).select("id", "v", F.pmod(h, F.lit(query_blocks)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("i"))
+    queries = coded.where(is_query).select("id", "v", "d", F.pmod(h, F.lit(query_blocks)).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("i"))
     schema = "query_id long, vec_id long, score double"
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -239,6 +257,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 out[2] += score[best].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = rows.groupBy("i", "j").cogroup(queries.groupBy("i", "j")).applyInArrow(cogrouped(search, schema), schema)
+    found = rows.groupBy("i", "j", "d").cogroup(queries.groupBy("i", "j", "d")).applyInArrow(cogrouped(search, schema), schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

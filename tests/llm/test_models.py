@@ -3,6 +3,7 @@ import random
 
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 
@@ -19,18 +20,35 @@ def test_word_scores_sum_all_segmentations():
     known = {int(h): k for k, h in enumerate(table)}
 
     def total(w, l):
-        if not w:
-            return 1.0
-        out = 0.0
-        for n in range(1, min(len(w), language.LONGEST) + 1):
-            k = known.get(language._hash(w[:n]))
-            out += (p[l][k] if k is not None else language.FLOOR if n == 1 else 0.0) * total(w[n:], l)
-        return out
-
-    words = ["the", "of", "zß一", "hello", "ingthe", "a"]
+        """Sums over all segmentations of the beginnings of w, exactly."""
+        sums = [Fraction(1)]
+        for end in range(1, len(w) + 1):
+            out = Fraction(0)
+            for start in range(end):
+                k = known.get(language._hash(w[start:end]))
+                out += sums[start] * Fraction(p[l][k] if k is not None else language.FLOOR if end == start + 1 else 0.0)
+            sums.append(out)
+        return sums[-1]
+
+    words = ["the", "of", "zß一", "hello", "ingthe", "a", "▁information", "x" * 24, "x" * 25, "understanding" * 4 + "sinceßx", "thisisasentencewithoutspacesandwithinformation" * 2]
     got = language.word_scores(words, p)
     for w, row in zip(words, got):
-        assert np.allclose(row, [math.log(total("▁" + w, l)) for l in (0, 1)])
+        exact = [total("▁" + w, l) for l in (0, 1)]
+        assert np.allclose(row, [math.log(x.numerator) - math.log(x.denominator) for x in exact], rtol=1e-9)
+
+def test_long_words_are_carried_over_blocks(monkeypatch):
+    p = np.random.default_rng(3).random((3, len(language.pieces(language.VOCABULARY))))
+    p /= p.sum(1, keepdims=True)
+    word = "theinformationofthe一wordß" * 40
+    want = language.word_scores([word], p)
+    monkeypatch.setattr(language, "STEP", 7)
+    assert np.allclose(language.word_scores([word], p), want, rtol=1e-12)
+
+def test_expected_counts_of_long_words_equal_those_of_short_ones(monkeypatch):
+    counts = {"information": 3, "theword": 2, "a": 5, "xyß": 1}
+    want = language.fit_pieces(counts)
+    monkeypatch.setattr(language, "SIDE_BY_SIDE", 0)
+    assert np.allclose(language.fit_pieces(counts), want, rtol=1e-9)
 
 def test_language_held_out_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -41,6 +59,9 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (None, "the of and"), (5, "x" * 50_000)], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(odd, names, p).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[None][0] == "en" and got[5][0] in names
+    twice = odd.union(odd).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))
+    assert sorted(map(str, language.predict(twice, names, p).collect())) == sorted(map(str, [*language.predict(odd, names, p).collect()] * 2))
+    assert {r.lang_pred for r in language.predict(odd.where("doc_id = 5"), ["b", "c"], np.repeat(p[:1], 2, 0)).collect()} == {"b"}  # a tie
     names, p = language.fit(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language.predict(odd, names, p).collect()} == {"und"}
 

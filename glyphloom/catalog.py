@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphloom import adapters as A
 from glyphloom.functions import exprs as X
+from glyphloom.functions import session
 from glyphloom.operators import compare, crop, dedup, fit, loops, masks, pivots, preprocess, raster, resample, timeline
 from glyphloom.operators.ordering import cut_lineage, shared_folder
 from glyphloom.operators.similarity import LoopOptions
@@ -103,6 +104,18 @@ def parse_timestamp(spark, sf):
     return events.select("event_id", "stamp", F.round(X.parse_timestamp(F.col("stamp")), 6).alias("seconds"))
 
 
+@query
+def session_functions(spark, sf):
+    """The scalar functions from SQL text."""
+    session.register(spark)
+    return spark.sql("""
+        SELECT clip_id, frame_no, row, col, gl_luminance(fr, fg, fb) AS luma, tiny, gl_ramp_luminance(glyph) AS glyph_luma,
+               round(gl_ramp_distance(glyph, tiny), 6) AS glyph_distance, gl_rgb_distance_l2(fr, fg, fb, br, bg, bb) AS l2,
+               round(gl_rgb_distance_l1(fr, fg, fb, br, bg, bb), 6) AS l1, gl_blend_channel(br, fr, (row * 14 + col) % 256) AS blended,
+               gl_is_blank(glyph) AS blank, gl_is_occupied(glyph) AS occupied
+        FROM (SELECT *, gl_glyph_for_luma(gl_luminance(fr, fg, fb), 40, {tiny}) AS tiny FROM {cells})""", cells=A.lineitem_cells(spark, sf), tiny=TINY)
+
+
 @query
 def grid_size(spark, sf):
     vecs = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", (F.col("vec_id") % 13 + 3).alias("w"), F.size("embedding").alias("h"))

@@ -151,6 +151,13 @@ WITH s AS (SELECT event_id, CASE event_id % 3
     ELSE event_type || ':' || lpad(CAST(second(ts) AS VARCHAR),2,'0') END AS stamp FROM events),
 p AS (SELECT event_id, stamp, list_reverse(string_split(stamp, ':')) AS v FROM s)
 SELECT event_id, stamp, round(coalesce(try_cast(v[1] AS DOUBLE), 0) + 60*coalesce(try_cast(v[2] AS DOUBLE), 0) + 3600*coalesce(try_cast(v[3] AS DOUBLE), 0), 6) AS seconds FROM p""")
+add("session_functions", with_(CELLS, f"g AS (SELECT *, {glyph(luma(), 40, TINY)} AS tiny FROM c)") + f"""
+SELECT {KEYS}, CAST({luma()} AS INT) AS luma, tiny, CASE WHEN strpos({q(RAMP)}, glyph) > 0 THEN CAST((strpos({q(RAMP)}, glyph)-1)*255 // 67 AS INT) END AS glyph_luma,
+  round(CASE WHEN glyph = tiny THEN 0.0 WHEN strpos({q(RAMP)}, glyph) = 0 OR strpos({q(RAMP)}, tiny) = 0 THEN 1.0
+    ELSE abs(strpos({q(RAMP)}, glyph) - strpos({q(RAMP)}, tiny))/67.0::DOUBLE END, 6) AS glyph_distance,
+  CASE WHEN br IS NOT NULL THEN CAST(least(255, round(sqrt(((fr-br)*(fr-br) + (fg-bg)*(fg-bg) + (fb-bb)*(fb-bb))/3.0::DOUBLE))) AS INT) END AS l2,
+  round((abs(fr-br) + abs(fg-bg) + abs(fb-bb))/765.0::DOUBLE, 6) AS l1, (br*(255-(row*14+col)%256) + fr*((row*14+col)%256) + 127)//255 AS blended,
+  glyph IN (' ', chr(0)) AS blank, glyph <> ' ' AS occupied FROM g""")
 add("grid_size", """
 WITH s AS (SELECT vec_id, CAST(vec_id % 13 + 3 AS INT) AS w, len(embedding) AS h, CASE WHEN vec_id % 5 <> 0 THEN CAST(vec_id % 90 + 1 AS INT) END AS c FROM embeddings),
 t AS (SELECT *, CAST(CAST(CAST(CAST(h AS FLOAT)/CAST(w AS FLOAT) AS FLOAT)*CAST(c AS FLOAT) AS FLOAT)*CAST(0.7 AS FLOAT) AS FLOAT) AS hc,

@@ -60,7 +60,7 @@ class _Known(dict):
 
 
 class _Encoder:
-    """A worker's tokenizer and a task's caches of packed ids: by word of a Latin text, by stretch of any other."""
+    """A task's tokenizer and its caches of packed ids: by word of a Latin text, by stretch of any other."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -87,12 +87,6 @@ class _Encoder:
             return self.stretches.all(_STRETCH.findall(text))
         return self.words.all(_WORD.findall(text.lower()))
 
-    def forget(self) -> None:
-        """Empty the caches: a worker that has no such task any more would keep their memory from the other stages."""
-        self.words.clear()
-        self.stretches.clear()
-        give_back()
-
 
 def encode_texts(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     """Ids of each text as packed little-endian unsigned 32-bit numbers."""
@@ -101,29 +95,36 @@ def encode_texts(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     return list(map(_WORKER[vocabulary], texts))
 
 
+def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of batches of doc_id and text."""
+    for batch in batches:
+        rows = [[] for _ in range(6)]
+        for doc, ids in zip(batch["doc_id"].to_pylist(), encode_texts([t or "" for t in batch["text"].to_pylist()], vocabulary)):
+            ids += b"\0\0\0\0"
+            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                for c, v in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                    c.append(v)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        n = 6 if with_ids else 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:n], types)], names[:n])
+    # A worker that has no such task any more would keep the tokenizer's and its caches' memory from other stages.
+    _WORKER.pop(vocabulary, None)
+    give_back()
+
+
+def _piece_schema(with_ids: bool) -> str:
+    return PIECE + ", ids binary" * with_ids
+
+
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: its ids and the closing id 0, cut only where longer than a sequence.
 
     docs needs doc_id and text; null text counts as empty (one piece: the closing id). Repeated and
     null doc_ids are kept row by row. with_ids adds the piece's ids as packed 32-bit numbers.
     """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[] for _ in range(6)]
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encode_texts([t or "" for t in batch["text"].to_pylist()], vocabulary)):
-                ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for c, v in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows[:n], types)], names[:n])
-        if vocabulary in _WORKER:
-            _WORKER[vocabulary].forget()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _cut(batches, vocabulary, capacity, with_ids), _piece_schema(with_ids))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -153,26 +154,35 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _fit(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """Best fit of a task's items (used, members); an item is a bin with its members."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    used, members = t["used"].to_numpy(), t["members"].combine_chunks()
+    flat, at = members.flatten(), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])
+    bins = best_fit(used, capacity)
+    order = np.array([i for b in bins for i in b], np.int64)
+    lengths = np.diff(at)[order]
+    rows = np.repeat(at[:-1][order] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+    ends = np.cumsum([0, *map(len, bins)])
+    offsets = np.concatenate([[0], np.cumsum(lengths)])[ends]
+    total = np.add.reduceat(used[order], ends[:-1])
+    out = pa.table({"used": pa.array(total, pa.int32()), "members": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(rows)))})
+    yield from out.to_batches(max_chunksize=10_000)
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every piece as an item of its own."""
+    for b in batches:
+        one = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1), pa.int32()), b.to_struct_array())
+        yield pa.RecordBatch.from_arrays([b["length"].cast(pa.int32()), one], ["used", "members"])
+
+
 def _merge(items: DataFrame, capacity: int) -> DataFrame:
-    """Best fit inside each partition; an item is a bin with its members."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        used, members = t["used"].to_numpy(), t["members"].combine_chunks()
-        flat, at = members.flatten(), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])
-        bins = best_fit(used, capacity)
-        order = np.array([i for b in bins for i in b], np.int64)
-        lengths = np.diff(at)[order]
-        rows = np.repeat(at[:-1][order] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        ends = np.cumsum([0, *map(len, bins)])
-        offsets = np.concatenate([[0], np.cumsum(lengths)])[ends]
-        total = np.add.reduceat(used[order], ends[:-1])
-        out = pa.table({"used": pa.array(total, pa.int32()), "members": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(rows)))})
-        yield from out.to_batches(max_chunksize=10_000)
-
-    return items.mapInArrow(task, items.schema)
+    """Best fit inside each partition."""
+    return items.mapInArrow(lambda batches: _fit(batches, capacity), items.schema)
 
 
 def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -184,9 +194,13 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bins, as when all items are over half a sequence. Returns the input columns with
     sequence_id (unique, not dense) and offset (gapless from 0). Empty input gives no rows.
     """
-    columns = pieces.columns
-    single = pieces.select(F.col("length").cast("int").alias("used"), F.array(F.struct(*columns)).alias("members"))
-    done, rest, tasks = [], checkpointed(_merge(single, capacity)), partitions(pieces.sparkSession)
+    single = pieces.select(F.col("length").cast("int").alias("used"), F.array(F.struct(*pieces.columns)).alias("members"))
+    return _rounds(_merge(single, capacity), capacity)
+
+
+def _rounds(first: DataFrame, capacity: int) -> DataFrame:
+    """The rounds after the first, and the members of all bins with their places."""
+    done, rest, tasks = [], checkpointed(first), partitions(first.sparkSession)
     limit = int(capacity * NEARLY_FULL)
     while True:
         done.append(rest.where(F.col("used") >= limit))
@@ -206,17 +220,23 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rows.select("m.*", "sequence_id", place.alias("offset"))
 
 
+def _pack_texts(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False) -> DataFrame:
+    """Pieces of docs packed by best fit; a task cuts and fits in one worker, so it needs no second one beside it."""
+    schema = f"used int, members array<struct<{_piece_schema(with_ids)}>>"
+    first = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _fit(_single(_cut(batches, vocabulary, capacity, with_ids)), capacity), schema)
+    return _rounds(first, capacity)
+
+
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise and pack documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Columns beyond doc_id and text are ignored, whatever their names.
     """
-    return pack_best_fit(token_pieces(docs, vocabulary, capacity), capacity)
+    return _pack_texts(docs, vocabulary, capacity)
 
 
 def sequence_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens, ids (packed 32-bit numbers)."""
-    pieces = token_pieces(docs, vocabulary, capacity, with_ids=True)
-    placed = pack_best_fit(pieces, capacity)
+    placed = _pack_texts(docs, vocabulary, capacity, with_ids=True)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.aggregate(parts, F.lit(b""), lambda s, m: F.concat(s, m["ids"])).alias("ids"))

@@ -72,3 +72,21 @@ def test_dimensions_ties_repeated_rows_and_empty_tables(spark):
     near = sorted((r.query_id, r.rank, r.vec_id) for r in vectors.nearest(df, F.col("id") % 10 == 0, k=3).collect())
     assert near == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (10, 1, 11), (10, 2, 12)]
     assert vectors.near_duplicates(df.limit(0)).count() == 0 and vectors.nearest(df.limit(0), F.col("id") % 10 == 0).count() == 0
+
+
+def test_neighbours_that_share_their_code(spark):
+    """A dense group of long vectors has nearly one code, whose error is the same for all of it: none of them may be missed for that."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 16))
+    x[:600] = 8 * rng.standard_normal(16) + 0.3 * rng.standard_normal((600, 16))
+    x[600:620] = x[0]
+    order = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(order, x)], "vec_id long, embedding array<double>")
+    y = x[np.argsort(order)]
+    score = np.stack([(y * v).sum(1) for v in y])
+    np.fill_diagonal(score, -np.inf)
+    found = {}
+    for r in vectors.nearest(df, F.col("id") % 20 == 0).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in range(0, 3000, 20):
+        assert [found[q][i] for i in range(1, 21)] == np.lexsort((np.arange(3000), -score[q]))[:20].tolist(), q

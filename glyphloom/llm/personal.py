@@ -3,12 +3,12 @@
 Generators with high recall propose spans by pattern; a span is found by splitting the text at the
 matches and adding up the lengths, so everything stays row-local and no text is shuffled. Four base
 kinds are always spans. Gradient-boosted trees decide on the other candidates from their format and
-context; they are fitted by Spark ML on a bounded sample of documents and read out into one
-expression that is evaluated beside the patterns.
+context; they are fitted by Spark ML on the candidates of all documents, as counts of equal feature
+vectors, and read out into one expression that is evaluated beside the patterns.
 
 The trees learn from distant labels: a candidate counts as personal where a base span overlaps it or
 a credential is being assigned. The threshold is the lowest score that reaches TARGET_PRECISION on the
-part of the sample not used for fitting.
+third of the documents not used for fitting.
 """
 
 from __future__ import annotations
@@ -35,11 +35,15 @@ EXTRA = {
     "number": r"(?<![0-9A-Za-z+])[0-9][0-9 ().-]{5,}[0-9]",
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]++",
 }
-#: Documents that the trees are fitted on, and their shape.
-SAMPLE_DOCUMENTS, TREES, DEPTH = 4000, 12, 3
+#: Shape of the trees; quantiles of a feature, over all candidates, at which they may split; steps of the margin in which the threshold is sought.
+TREES, DEPTH, QUANTILES, STEPS = 12, 3, 64, 1024
+#: Spark ML looks at every row for the places of splits up to the square of this.
+ML_BINS = 1024
 TARGET_PRECISION = 0.98
 
 FEATURES = ["length", "digits", "letters", "upper", "marks", "distinct", "luhn", "secret", "number", "contact", "assigned", "named", "quoted", "closed", "lead_digit"]
+#: Those of many values.
+COUNTS = FEATURES[:6]
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -122,29 +126,47 @@ class Boosted:
         return reduce(lambda a, b: a + b, (tree(t) * w for t, w in zip(self.trees, self.weights)))
 
 
-def _node(n):
-    return float(n.prediction()) if n.subtreeDepth() == 0 else (n.split().featureIndex(), float(n.split().threshold()), _node(n.leftChild()), _node(n.rightChild()))
+def _node(n, edges: list[list[float]]):
+    """A tree as tuples; splits between places become splits at the edges between these."""
+    if n.subtreeDepth() == 0:
+        return float(n.prediction())
+    f = n.split().featureIndex()
+    return f, edges[f][int(n.split().threshold())], _node(n.leftChild(), edges), _node(n.rightChild(), edges)
 
 
-def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Boosted | None:
-    """Fit on the documents with the smallest hashed ids (at most `documents` distinct hashes); None where they hold no candidates of both labels."""
-    hashed = F.xxhash64(F.col("doc_id"))
-    last = docs.select(hashed.alias("h")).distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    if last is None:
-        return None
+def _places(edges: list[list[float]]) -> list[Column]:
+    """Every feature as the number of its edges below the value."""
+    def below(c, e):
+        return F.size(F.filter(F.lit(e).cast("array<double>"), lambda x: x < F.col(c))).cast("double").alias(c)
+
+    return [below(c, e) for c, e in zip(FEATURES, edges)]
+
+
+def fit(docs: DataFrame) -> Boosted | None:
+    """Fit on the candidates of all documents, two thirds of them for the trees and a third, by hashed ids, for the threshold; None where
+    the former hold no candidates of both labels.
+
+    Equal feature vectors are one weighted row. Trees split at quantiles over all candidates.
+    """
     text = F.coalesce("text", F.lit(""))
-    sample = docs.where(hashed <= last).select(hashed.alias("h"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = sample.select("h", F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).select("h", "c.label", *(f"c.{f}" for f in FEATURES)).cache()
+    held = (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(3)) == 0).alias("held")
+    found = docs.select(held, text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    rows = found.select("held", F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).select("held", "c.label", *(f"c.{f}" for f in FEATURES))
+    rows = rows.groupBy("held", "label", *FEATURES).agg(F.count("*").alias("n")).cache()
     try:
-        train = rows.where("pmod(h, 3) <> 0")
-        counts = train.agg(F.count("*"), F.sum("label")).first()
+        train = rows.where("NOT held")
+        shares = F.array(*(F.lit(i / QUANTILES) for i in range(1, QUANTILES)))
+        counts = train.agg(F.sum("n"), F.sum(F.col("label") * F.col("n")), *(F.percentile(c, shares, F.col("n")) for c in COUNTS)).first()
         if not counts[0] or counts[1] in (0, counts[0]):
             return None
-        vectors = train.select("label", array_to_vector(F.array(*FEATURES)).alias("features"))
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(vectors)
-        boosted = Boosted([_node(t._java_obj.rootNode()) for t in model.trees], [float(w) for w in model.treeWeights], 0.0)
-        scored = rows.where("pmod(h, 3) = 0").select("label", boosted.margin(F.col).alias("m")).groupBy("m").agg(F.sum("label").alias("good"), F.count("*").alias("all"))
-        down = Window.orderBy(F.desc("m"))  # distinct margins of a bounded sample
+        edges = [sorted(set(e)) for e in counts[2:]] + [[0.0]] * (len(FEATURES) - len(COUNTS))
+        placed = train.select("label", "n", *_places(edges)).groupBy("label", *FEATURES).agg(F.sum("n").cast("double").alias("n"))
+        vectors = placed.select("label", "n", array_to_vector(F.array(*FEATURES)).alias("features"))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=ML_BINS, weightCol="n", seed=1).fit(vectors)
+        boosted = Boosted([_node(t._java_obj.rootNode(), edges) for t in model.trees], [float(w) for w in model.treeWeights], 0.0)
+        step = (F.floor(boosted.margin(F.col) * STEPS) / STEPS).alias("m")
+        scored = rows.where("held").select("label", "n", step).groupBy("m").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("all"))
+        down = Window.orderBy(F.desc("m"))  # steps of a bounded range
         best = scored.select("m", (F.sum("good").over(down) / F.sum("all").over(down)).alias("precision")).where(F.col("precision") >= TARGET_PRECISION).agg(F.min("m")).first()[0]
         boosted.threshold = max(0.0, best) if best is not None else float("inf")
         return boosted

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from glyphloom.llm import personal
 
 KINDS = {
@@ -27,3 +29,14 @@ def test_base_spans_against_the_patterns(spark):
         assert got[i] == want, i
     clean = {r.doc_id: r.text for r in personal.redact(df).collect()}
     assert clean[len(texts) - 4] is None and "@" not in clean[1000].split("é")[1].replace("<email>", "")
+
+
+def test_trees_learn_from_all_documents(spark):
+    """What only a few of many documents hold, those past any 4000 too, decides with the rest: the trees see every candidate's features."""
+    plain = spark.range(9000).selectExpr("id AS doc_id", "concat('mail to [at] nobody', id, ' or ref x', sha2(cast(id AS string), 256)) AS text")
+    last = [r[0] for r in plain.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy(F.desc("h")).limit(300).collect()]
+    docs = plain.withColumn("text", F.when(F.col("doc_id").isin(last), F.concat(F.lit("token="), F.upper(F.sha2(F.col("doc_id").cast("string"), 256)))).otherwise(F.col("text")))
+    model = personal.fit(docs)
+    assert model is not None and 0 <= model.threshold < float("inf")
+    got = {r.doc_id: [s.kind for s in r.added] for r in personal.find_spans(docs, model).collect()}
+    assert sum("secret" in got[i] for i in last) >= 290 and not any(kinds for i, kinds in got.items() if i not in set(last))

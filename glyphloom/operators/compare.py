@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import let, text_lines
+from glyphloom.operators.ordering import frames_apart
 from glyphloom.schemas import CELL_KEYS, FRAME_KEYS, PIXEL_KEYS
 
 
@@ -47,10 +48,10 @@ def diff_frames(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def diff_pixels(left: DataFrame, right: DataFrame) -> DataFrame:
     """The difference image of two runs: absolute channel differences per pixel (null where one run has no such
-    pixel) and whether both are equal. A pixel is one row of each run; the runs meet in one exchange, without a sort."""
+    pixel) and whether both are equal. A pixel is one row of each run; the runs meet by frame in one exchange, without a sort."""
     sides = [run.select(*PIXEL_KEYS, *[(F.col(c) if side == mine else F.lit(None)).cast("int").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
              for mine, run in (("l", left), ("r", right))]
-    met = sides[0].unionByName(sides[1]).groupBy(PIXEL_KEYS).agg(*[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
+    met = frames_apart(sides[0].unionByName(sides[1])).groupBy(PIXEL_KEYS).agg(*[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
     apart = [F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")).alias(c) for c in "rgb"]
     return met.select(*PIXEL_KEYS, *apart, F.coalesce(sum(apart[1:], apart[0]) == 0, F.lit(False)).alias("same"))
 

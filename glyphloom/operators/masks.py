@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import hue_rotate, is_blank, luminance, ramp_luminance, rgb_distance_l2
+from glyphloom.operators.ordering import frames_apart
 from glyphloom.schemas import CELL_KEYS, DEFAULT_RAMP, FRAME_KEYS
 
 Selection = list | DataFrame
@@ -79,12 +80,13 @@ def neighbour_sums(cells: DataFrame, radius: int) -> DataFrame:
     Two one-dimensional passes instead of a square of offsets: each cell is spread
     over the 2r+1 rows it reaches and summed with map-side combining (its own values
     ride along on the middle copy), then columns are summed by a range window inside
-    one line of one frame. Cells are read once.
+    one line of one frame. Frames are spread before, so both passes stay in their task.
     """
     seen = ~is_blank(F.col("glyph"))
     reach = F.when(seen, F.sequence(F.lit(-radius), F.lit(radius))).otherwise(F.array(F.lit(0)))
     source = {"r": "fr", "g": "fg", "b": "fb"}
-    spread = cells.select(
+    needed = frames_apart(cells.select(*FRAME_KEYS, "row", "col", *source.values(), "glyph"), 2 * radius + 1)
+    spread = needed.select(
         *FRAME_KEYS, "row", "col", *source.values(), F.when(seen, 1).otherwise(0).alias("n"), F.explode(reach).alias("d"))
     middle = {c: F.when(F.col("d") == 0, F.col(c)).alias(c) for c in source.values()}
     bands = spread.select(

@@ -94,6 +94,18 @@ def by_frame(df: DataFrame) -> DataFrame:
     return spread_out(df, "clip_id", "frame_no")
 
 
+#: Rows that one task groups at once.
+TASK_ROWS = 2_000_000
+
+
+def frames_apart(df: DataFrame, copies: int = 1) -> DataFrame:
+    """Rows spread by (clip, frame) over as many partitions as they fill, each row about to become ``copies``: a task then
+    groups a bounded number of rows, whatever the size of the input, and grouping inside a frame needs no further shuffle.
+    Counting them reads the input once more."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() * copies // TASK_ROWS)), "clip_id", "frame_no")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 

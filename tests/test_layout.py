@@ -51,3 +51,17 @@ def test_difference_images(spark):
     assert got == {(1, 0, 0): (0, 4, 5, False), (1, 0, 1): (0, 0, 0, True), (2, 0, 0): (0, 0, 0, True), (3, 0, 0): (None, None, None, False), (4, 0, 0): (None, None, None, False)}
     frames = {r.frame_no: (r.identical, r.pixels_different, r.max_difference, r.total_difference) for r in compare.diff_images(left, right).collect()}
     assert frames == {1: (False, 1, 5, 9), 2: (True, 0, 0, 0), 3: (False, 1, 0, 0), 4: (False, 1, 0, 0)}
+
+
+def test_grouped_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Pixels and cells are grouped in as many partitions as they fill, not in a number that the session sets."""
+    from glyphloom.operators import masks
+
+    monkeypatch.setattr("glyphloom.operators.ordering.TASK_ROWS", 100)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pixels = spark.range(100 * least).selectExpr("id % 50 AS clip_id", "id AS frame_no", "1 AS y", "2 AS x", "3 AS r", "4 AS g", "5 AS b")
+    met = compare.diff_pixels(pixels, pixels)
+    assert met.rdd.getNumPartitions() == 2 * least and met.where("same").count() == 100 * least
+    cells = pixels.selectExpr("clip_id", "frame_no", "y AS row", "x AS col", "'#' AS glyph", "r AS fr", "g AS fg", "b AS fb")
+    around = masks.neighbour_sums(cells, 1)
+    assert around.rdd.getNumPartitions() == 3 * least and around.where("n = 0").count() == 100 * least

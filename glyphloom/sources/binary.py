@@ -224,7 +224,10 @@ def pack_frames(frames: DataFrame, part_bytes: int | None = None, block: int = 4
     """
     rows = frames.where("raw IS NOT NULL").select("clip_id", "frame_no", "raw")
     if part_bytes:
-        cuts = hinted(part_cuts(rows, part_bytes, block))
+        # A part ends behind the frame that passes its bytes: with the largest frame that a row can hold it still has to fit into a row.
+        entry = F.octet_length("raw").cast("bigint") + 4
+        largest = rows.agg(F.max(F.when(entry + HEADER_BYTES <= PACK_ROW_BYTES, entry))).first()[0] or 0
+        cuts = hinted(part_cuts(rows, max(1, min(part_bytes, PACK_ROW_BYTES - HEADER_BYTES - largest + 1)), block))
         passed = F.filter("cuts", lambda c: c["first"] <= F.col("frame_no"))
         rows = rows.withColumn("_block", idiv(F.col("frame_no"), block)).join(cuts, ["clip_id", "_block"]).select(
             "clip_id", F.array_max(F.transform(passed, lambda c: c["part"])).alias("part"), "frame_no", "raw")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from glyphloom.llm import jaccard, kneser, packing, personal, suffixes
 from glyphloom.llm.common import checkpoint_folder, checkpointed, table
 
+#: Rows that Spark hands a Python worker at once: whole texts in batches of Spark's 10,000 rows fill an executor beside its heap.
+BATCH_ROWS = 1000
 #: Passages from this many words on that occur twice are removed.
 PASSAGE_WORDS = 50
 
@@ -95,7 +97,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+    finally:
+        spark.conf.set(name, before)
     return docs

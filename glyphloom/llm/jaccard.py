@@ -151,7 +151,7 @@ def near_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     Shingles are compared by 48-bit hashes.
     """
     n = partitions(docs.sparkSession)
-    blocks = packed_blocks(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ["doc_id", "text"], BLOCKS * n)
+    blocks = packed_blocks(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ["doc_id", "text"], 2 * BLOCKS * n)  # a worker sorts all shingles of a block
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in whole_blocks(batches):

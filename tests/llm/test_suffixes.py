@@ -52,6 +52,16 @@ def test_bytes_against_brute_force(spark, seed, length):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size,removed", [(399, 0), (400, 400)])
+def test_passage_of_many_words_goes_from_400_bytes_on(spark, size, removed):
+    passage = " ".join(f"w{i:04d}" for i in range(66))
+    passage += "x" * (size - len(passage))  # 66 words, below or at the length
+    rows = [(i, f"{c * 30} {c}{passage}{c} {c * 50}", "b", 0) for i, c in enumerate("pqr")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in repeated_passages(spark.createDataFrame(rows, SCHEMA)).withColumnRenamed("kept", "kept_bytes").collect()}
+    for i, t, *_ in rows:
+        assert got[i] == (len(t), removed, int(removed > 0), (t.replace(passage, "") if removed else t).encode())
+
+
 def test_words_against_brute_force(spark):
     texts = [t or "" for t in corpus(7, 12)]
     got = {r.doc_id: (r.n_removed, r.kept) for r in repeated_passages(spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA), 12, "words").collect()}

@@ -62,6 +62,23 @@ def test_passage_of_many_words_goes_from_400_bytes_on(spark, size, removed):
         assert got[i] == (len(t), removed, int(removed > 0), (t.replace(passage, "") if removed else t).encode())
 
 
+def test_query_returns_input_size_and_digest_of_the_rest(spark, tmp_path):
+    from glyphloom.llm.queries import op2_suffix_array_dedup
+
+    short = " ".join(f"s{i:04d}e" for i in range(51))  # 356 bytes
+    long = " ".join(f"l{i:04d}é" for i in range(60))  # 479 bytes
+    texts = [f"{'pqr'[i]} {a} {'xyz'[i]}" for i in range(3) for a in (short, long, short + "\n" + long)] + [None, "", "é" * 30]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = op2_suffix_array_dedup(spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    data, want = [(t or "").encode() for t in texts], []
+    for i, (t, gone) in enumerate(zip(data, brute(data, 400))):
+        runs = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
+        want.append((i, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
+    assert sorted(tuple(r)[:5] for r in out.collect()) == want
+    assert [w[2] > 0 for w in want[:3]] == [False, True, True]  # 51 words below 400 bytes stay
+
+
 def test_words_against_brute_force(spark):
     texts = [t or "" for t in corpus(7, 12)]
     got = {r.doc_id: (r.n_removed, r.kept) for r in repeated_passages(spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA), 12, "words").collect()}

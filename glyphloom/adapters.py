@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions.exprs import glyph_for_luma, idiv, luminance, ntz_micros
-from glyphloom.operators.ordering import by_frame, dense_index
+from glyphloom.operators.ordering import by_frame, dense_index, frames_apart
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _least_lines(batches):
+    """Task-side helper: the lines of an order and number in a batch, as one line of minima."""
+    for batch in batches:
+        least = pa.Table.from_batches([batch]).group_by(["o", "n"]).aggregate([(c, "min") for c in "qps"])
+        yield from least.rename_columns({f"{c}_min": c for c in "qps"}).select(batch.schema.names).to_batches()
+
+
+def lineitem_cells(spark: SparkSession, sf_dir: str, copies: int = 0) -> DataFrame:
     """Coloured cells, at most 32 x 14 per frame: 64 orders make a frame, 1024 a clip.
 
     Several lines may claim one cell; it takes the smallest quantity, part and
     supplier of them. These are plain minima, so a hot order key collapses on the map
     side and frames stay small. Every fourth frame has no background.
+
+    With ``copies`` the cells come spread by (clip, frame), each about to become so many rows:
+    lines meet by frame instead of by cell, in the same single exchange.
     """
-    order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    lines = _read(spark, sf_dir, "lineitem").select(
-        idiv(order, 1024).alias("clip_id"),
-        idiv(order, 64).alias("frame_no"),
+    table = _read(spark, sf_dir, "lineitem")
+    lines = table.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"),
+                         F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    order = F.col("o")
+    clip, frame = idiv(order, 1024), idiv(order, 64)
+    if copies:
+        lines = frames_apart(lines.mapInArrow(_least_lines, lines.schema), copies, table.count(), (clip, frame))
+    lines = lines.select(
+        clip.alias("clip_id"),
+        frame.alias("frame_no"),
         (order % 32).cast("int").alias("row"),
-        (F.col("l_linenumber") - 1 + 7 * (idiv(order, 32) % 2)).cast("int").alias("col"),
-        F.col("l_quantity").cast("int").alias("q"), part.alias("p"), supp.alias("s"), order.alias("o"),
+        (F.col("n") - 1 + 7 * (idiv(order, 32) % 2)).cast("int").alias("col"),
+        "q", "p", "s", "o",
     )
     won = lines.groupBy("clip_id", "frame_no", "row", "col").agg(*[F.min(c).alias(c) for c in "qpso"])
     q, p, s = F.col("q"), F.col("p"), F.col("s")

@@ -46,14 +46,16 @@ def diff_frames(left: DataFrame, right: DataFrame) -> DataFrame:
         F.max(F.greatest(*parts)).alias("max_difference"), F.sum(sum(parts[1:], parts[0])).alias("total_difference"))
 
 
-def diff_pixels(left: DataFrame, right: DataFrame) -> DataFrame:
+def diff_pixels(left: DataFrame, right: DataFrame, met: bool = False) -> DataFrame:
     """The difference image of two runs: absolute channel differences per pixel (null where one run has no such
-    pixel) and whether both are equal. A pixel is one row of each run; the runs meet by frame in one exchange, without a sort."""
+    pixel) and whether both are equal. A pixel is one row of each run; the runs meet by frame in one exchange, without a sort.
+    Runs made of frames that were spread alike while compact have ``met``: their pixels stay where they are."""
     sides = [run.select(*PIXEL_KEYS, *[(F.col(c) if side == mine else F.lit(None)).cast("int").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
              for mine, run in (("l", left), ("r", right))]
-    met = frames_apart(sides[0].unionByName(sides[1])).groupBy(PIXEL_KEYS).agg(*[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
+    both = sides[0].unionByName(sides[1])
+    paired = (both if met else frames_apart(both)).groupBy(PIXEL_KEYS).agg(*[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side in "lr" for c in "rgb"])
     apart = [F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")).alias(c) for c in "rgb"]
-    return met.select(*PIXEL_KEYS, *apart, F.coalesce(sum(apart[1:], apart[0]) == 0, F.lit(False)).alias("same"))
+    return paired.select(*PIXEL_KEYS, *apart, F.coalesce(sum(apart[1:], apart[0]) == 0, F.lit(False)).alias("same"))
 
 
 def diff_images(left: DataFrame, right: DataFrame) -> DataFrame:

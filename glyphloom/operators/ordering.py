@@ -98,12 +98,12 @@ def by_frame(df: DataFrame) -> DataFrame:
 TASK_ROWS = 2_000_000
 
 
-def frames_apart(df: DataFrame, copies: int = 1) -> DataFrame:
+def frames_apart(df: DataFrame, copies: int = 1, rows: int | None = None, keys: tuple = ("clip_id", "frame_no")) -> DataFrame:
     """Rows spread by (clip, frame) over as many partitions as they fill, each row about to become ``copies``: a task then
     groups a bounded number of rows, whatever the size of the input, and grouping inside a frame needs no further shuffle.
-    Counting them reads the input once more."""
+    Where the caller has no bound for ``rows``, counting them reads the input once more."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() * copies // TASK_ROWS)), "clip_id", "frame_no")
+    return df.repartition(max(least, -(-(df.count() if rows is None else rows) * copies // TASK_ROWS)), *keys)
 
 
 def shared_folder(spark: SparkSession) -> str:

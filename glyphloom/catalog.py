@@ -193,7 +193,7 @@ def diff_pixels(spark, sf):
 
 @query
 def diff_images(spark, sf):
-    return compare.diff_images(*_two_rasters(spark, sf))
+    return compare.diff_images(*_two_rasters(spark, sf), met=True)
 
 
 def _pixels(spark, sf):

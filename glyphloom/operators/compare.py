@@ -58,10 +58,10 @@ def diff_pixels(left: DataFrame, right: DataFrame, met: bool = False) -> DataFra
     return paired.select(*PIXEL_KEYS, *apart, F.coalesce(sum(apart[1:], apart[0]) == 0, F.lit(False)).alias("same"))
 
 
-def diff_images(left: DataFrame, right: DataFrame) -> DataFrame:
+def diff_images(left: DataFrame, right: DataFrame, met: bool = False) -> DataFrame:
     """Per frame of two rasterised runs: identical?, differing pixels, largest and total channel difference."""
     parts = [F.coalesce(F.col(c), F.lit(0)) for c in "rgb"]
-    return diff_pixels(left, right).groupBy(FRAME_KEYS).agg(
+    return diff_pixels(left, right, met).groupBy(FRAME_KEYS).agg(
         F.bool_and("same").alias("identical"), F.count_if(~F.col("same")).alias("pixels_different"),
         F.max(F.greatest(*parts)).alias("max_difference"), F.sum(sum(parts[1:], parts[0])).alias("total_difference"))
 
